@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct lower-cased runs of letters, hashed to 2**BITS columns. The machine scores
+A text's terms are its distinct lower-cased runs of letters and their beginnings of PREFIXES letters (one stem with many endings
+counts as one term), hashed to 2**BITS columns. The machine scores
     b + sum w_i + sum_{i<j} <v_i, v_j>
 so a pair of terms (an insult and the mention of a group) can count for more, or less, than the two alone. It is fitted with numpy on
 the driver from a bounded sample of labelled rows (SAMPLE of them, by hash of doc_id); only hashed terms come to the driver. Scoring is
@@ -24,19 +25,23 @@ from .encoding import Cache
 
 BITS, RANK = 18, 8
 SAMPLE = 12_000  # labelled rows that the model is fitted on, at most
-KEPT = 4096  # hashed terms with weights; the others tell the classes apart too little
-EPOCHS, RATE, DECAY, BATCH = 12, 0.1, 2e-3, 256
+PREFIXES = (3, 4, 5, 6)
+KEPT, GAIN = 2048, 14.0  # hashed terms with weights, at most, and their least log-likelihood ratio; the others hardly tell the classes apart
+EPOCHS, RATE, DECAY, BATCH = 20, 0.1, 1e-3, 64
+TIMES = 3.0  # weight of a toxic row, as they are few
 THRESHOLD = 0.7
 WORD = regex.compile(r"\p{L}+")
 
 
-def hashed(word: str) -> int:
-    return zlib.crc32(word.encode()) & ((1 << BITS) - 1)
+def hashed(word: str) -> bytes:
+    """The columns of a word and its beginnings, as little-endian int32. A word and a beginning have different columns."""
+    own = [word] + [word[:n] + "-" for n in PREFIXES if n <= len(word)]
+    return np.array([zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in own], "<i4").tobytes()
 
 
 def terms(text: str, known: Cache) -> np.ndarray:
     """The columns of a text's distinct terms, ascending."""
-    return np.unique(np.fromiter(map(known.__getitem__, set(WORD.findall(text.lower()))), np.int32))
+    return np.unique(np.frombuffer(b"".join(map(known.__getitem__, set(WORD.findall(text.lower())))), "<i4"))
 
 
 @dataclass
@@ -64,9 +69,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     lab = np.repeat(labels, [len(r) for r in rows]) if n else np.zeros(0)
     c1, c0 = np.bincount(flat[lab > 0], minlength=size), np.bincount(flat[lab <= 0], minlength=size)
     p, q = (c1 + 0.5) / (pos + 1), (c0 + 0.5) / (neg + 1)
-    gain = np.abs(np.log(p / q)) * np.sqrt(np.minimum(c1 + c0, 4000)) * ((c1 + c0) >= 5)
+    m = (c1 + c0 + 1) / (pos + neg + 2)
+    gain = 2 * (pos * (p * np.log(p / m) + (1 - p).clip(1e-9) * np.log((1 - p).clip(1e-9) / (1 - m))) + neg * (q * np.log(q / m) + (1 - q).clip(1e-9) * np.log((1 - q).clip(1e-9) / (1 - m))))
     kept = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    kept = kept[gain[kept] > 0].astype(np.int32)
+    kept = kept[gain[kept] > GAIN].astype(np.int32)
     own = []
     for r in rows:
         at = np.searchsorted(kept, r)
@@ -86,7 +92,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
             np.add.at(s, row, vi)
             sq = np.bincount(row, (vi**2).sum(1), len(part))
             z = b + np.bincount(row, w[idx], len(part)) + 0.5 * ((s**2).sum(1) - sq)
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * np.where(labels[part] > 0, TIMES, 1.0) / len(part)
             used, where = np.unique(idx, return_inverse=True)
             dw = np.bincount(where, err[row], len(used)) + DECAY * w[used] / len(part)
             each = err[row, None] * (s[row] - vi)
