@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch may hold, so that very long texts don't fill a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +60,11 @@ def texts(column: pa.Array) -> list[str]:
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of finished steps; between steps that are staged nothing of them is needed."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
