@@ -7,20 +7,30 @@ characters or the tokenizer's special strings. Every other text is given whole t
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Patterns of the two public vocabularies, as their files state them (fixed values).
-BYTE_BPE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_BPE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the cut is not certain for: other scripts, combining marks, controls, special strings.
+LAST = 0x12F
+UNSURE = re.compile(rf"[^\t-\r\x20-\x7e\xa0-{chr(LAST)}]|<\|")
+
+
+def _of(kind: str) -> str:
+    """The characters up to LAST of a general category, as the inside of a class."""
+    return "".join(re.escape(chr(c)) for c in range(LAST + 1) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The published patterns of the two vocabularies for characters up to LAST; letters first, as most pre-tokens are words.
+_L, _N, _SHORT = _of("L"), _of("N"), "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_BPE = rf" ?[{_L}]+| ?[{_N}]+|{_SHORT}| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+WORD_BPE = rf"[{_L}]+|[{_N}]|{_SHORT}|[^\s{_L}{_N}]+"
 PATTERNS = {"byte_bpe_50k.json": (BYTE_BPE, False), "word_bpe_49k.json": (WORD_BPE, True)}
 
-#: What the pattern's cut is not certain for: other scripts, combining marks, controls, special strings.
-UNSURE = regex.compile(r"[^\t-\r\x20-\x7e\xa0-į]|<\|")
-CACHE = 400_000  # pre-tokens that a worker keeps beside those it was given; then it starts anew
+CACHE = 700_000  # pre-tokens that a worker keeps beside those it was given; then it starts anew
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,7 +64,14 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pattern, self.lower = PATTERNS[name]
-        self.cut = regex.compile(pattern).findall
+        self.cut = re.compile(pattern).findall
+        self.unsure = UNSURE.search
+        self._chunks: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        if self.lower:
+            words = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ending = np.zeros(max(words.values()) + 1, bool)
+            self.ending[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self._ids = Cache({}, lambda w: self.whole(w).tobytes())
         self._counts = Cache(known or {}, lambda w: len(self.whole(w)))
 
@@ -63,13 +80,39 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where the library has to see the whole text."""
-        if not text.isascii() and UNSURE.search(text) or text.isascii() and ("<|" in text or UNSURE.search(text)):
-            return None
-        return self.cut(text.lower() if self.lower else text)
+        return None if self.unsure(text) else self.cut(text.lower() if self.lower else text)
 
     def ids(self, text: str) -> bytes:
-        words = self.pieces(text)
-        return self.whole(text).tobytes() if words is None else b"".join(map(self._ids.__getitem__, words))
+        return self.ids_all([text])[0]
+
+    def ids_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Where white space is dropped, what stands between it is looked up as a whole."""
+        if not self.lower:
+            words = [self.pieces(t) for t in texts]
+            return [self.whole(t).tobytes() if w is None else b"".join(map(self._ids.__getitem__, w)) for t, w in zip(texts, words)]
+        if len(self._chunks) > CACHE:
+            self._chunks.clear()
+        known = self._chunks
+        chunks = [None if self.unsure(t) else t.lower().split() for t in texts]
+        self._learn({c for own in chunks if own for c in own if c not in known})
+        return [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encodes new chunks, many in one call with spaces between; a word's last id, and no other, ends a word."""
+        cuts = {c: self.cut(c) for c in chunks}
+        new = sorted({w for own in cuts.values() for w in own if w not in self._words})
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
+            ids = self.whole(" ".join(part))
+            ends = ((np.flatnonzero(self.ending[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):
+                self._words.update((w, self.whole(w).tobytes()) for w in part)
+                continue
+            data = ids.tobytes()
+            self._words.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
+        self._chunks.update((c, b"".join(map(self._words.__getitem__, own))) for c, own in cuts.items())
+        if len(self._words) > CACHE:
+            self._words.clear()
 
     def count(self, text: str) -> int:
         words = self.pieces(text)

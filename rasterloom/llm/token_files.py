@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = NAME, end: int = END) -
     def encoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, place = encoder(name), TaskContext.get().partitionId(), 0
         for b in batches(rows):
-            ids = [enc.ids(t) + last for t in texts(b.column(1))]
+            ids = [x + last for x in enc.ids_all(texts(b.column(1)))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = place + np.cumsum(n) - n
             place += int(n.sum())
