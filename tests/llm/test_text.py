@@ -1,0 +1,192 @@
+"""Surrogates, page extraction, toxicity and the pipeline."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from rasterloom.llm import pii, site_tree, toxicity
+from rasterloom.llm.common import read, staged
+
+MENTIONS = [
+    "ann.lee.07@mail1.example.com", "Ünal@post.example.de", "иван@почта.example.ru", "+1 (743) 555-3220", "(212) 555-0147", "4556 7375 8689 9855", "4556737586899855", "7660516630986472", "18.72.200.134",
+    "078-05-1120", "DE89 3704 0044 0532 0130 00", "7660c51feb63980dfaee7464f96210544c03fc3a", "1EB9C654E721B4F812088970E66A6345CEE33DD6", "ghp_abcdEFGH1234ijklMNOP", "Mrs. Anna Berg", "Mr Stone", "Frau Weber-Klein", "г-жа Анна Петрова", "Κύριος Νίκος",
+]
+
+
+@pytest.fixture(scope="module")
+def personal(spark):
+    rows = [(k, f"before {m}, between {m} and {MENTIONS[k - 1]}.\nafter") for k, m in enumerate(MENTIONS)]
+    rows += [(100, "nothing here 12 3.4"), (101, ""), (102, None), (103, rows[0][1]), (104, "x " * 40_000 + MENTIONS[0])]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n_entities int")
+
+
+def luhn(value):
+    d = [int(c) for c in re.sub(r"\D", "", value)][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def shape(value):
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", value))
+
+
+def test_surrogates(personal):
+    before = {r.doc_id: r.text for r in personal.collect()}
+    out = pii.replaced(personal)
+    after = {r.doc_id: (r.text, r.n_entities) for r in out.collect()}
+    assert set(out.columns) == {"doc_id", "text", "n_entities"} and len(after) == len(before)
+    assert after[100] == ("nothing here 12 3.4", 0) and after[101] == ("", 0) and after[102] == (None, 0) and after[103] == after[0]
+    new = {}
+    for k, m in enumerate(MENTIONS):
+        text, n = after[k]
+        one, two, other = re.fullmatch(r"before (.*), between (.*) and (.*)\.\nafter", text).groups()
+        assert n == 3 and one == two != m and m not in text
+        assert new.setdefault(m, one) == one and new.setdefault(MENTIONS[k - 1], other) == other  # coreference across documents
+    assert len(set(new.values())) == len(MENTIONS) and not set(new.values()) & set(MENTIONS)  # distinctness
+    for m, s in new.items():
+        if not re.match("Mr|Frau|г-жа|Κύριος", m) and m != "18.72.200.134":
+            assert shape(m) == shape(s), (m, s)
+        assert [c.isupper() for c in m] == [c.isupper() for c in s] or "9" in shape(m) or " " in m
+    assert all(0 < int(x) < 255 for x in new["18.72.200.134"].split("."))
+    assert luhn(new["4556737586899855"]) and luhn(new["4556 7375 8689 9855"])
+    assert re.fullmatch("[0-9a-f]{40}", new["7660c51feb63980dfaee7464f96210544c03fc3a"]) and re.fullmatch("[0-9A-F]{40}", new["1EB9C654E721B4F812088970E66A6345CEE33DD6"])
+    assert new["+1 (743) 555-3220"].startswith("+1 (") and new["Ünal@post.example.de"].endswith(".de") and re.match(r"[а-я]+@[а-я]+\.", new["иван@почта.example.ru"])
+    assert re.fullmatch(r"Mrs\. \w+(a|issa|elle|ie|lyn) \w+", new["Mrs. Anna Berg"]) and re.fullmatch(r"Frau \w+-\w+", new["Frau Weber-Klein"]) and re.fullmatch(r"Mr \w+", new["Mr Stone"])
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+", new["г-жа Анна Петрова"]) and re.fullmatch(r"Κύριος [Α-Ω]\w+", new["Κύριος Νίκος"])
+
+
+def test_surrogates_depend_on_the_key(personal):
+    a, b = ({r.doc_id: r.text for r in pii.replaced(personal, k).collect()} for k in ("one", "two"))
+    assert a[3] != b[3] and a == {r.doc_id: r.text for r in pii.replaced(personal, "one").collect()}
+
+
+def test_collisions_are_drawn_again(spark):
+    """All 90 one-letter addresses of one form: each gets another, though a draw has few values."""
+    values = [f"{c}.{d}@m.example.com" for c in "abcdefghij" for d in range(9)]
+    table = pii.surrogates(spark.createDataFrame([(v,) for v in values * 2], "value string")).collect()
+    got = {r.value: r.surrogate for r in table}
+    assert len(table) == len(got) == len(values) == len(set(got.values())) and not set(got.values()) & set(values)
+
+
+def test_surrogates_of_nothing(no_docs):
+    assert pii.replaced(no_docs).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>x="<p>no</p>"</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li>a<li>b</ul></nav><!-- <p>no --><div class="ad-box">Buy</div><form><input><p>no</p></form>
+<article class="post"><h1>Head &amp; line</h1><p>One <b>bold
+ two<br>three<p>Four&nbsp;five &lt;six&gt; &#233;&copy<ul><li>x<li>y</ul><aside>no</aside><div class="comments"><p>reader</p></div><script>no</script></article>
+<div id="sidebar">no</div><footer>no</footer></body></html>"""
+
+
+def test_blocks():
+    assert site_tree.blocks(site_tree.parse(PAGE)) == ["Head & line", "One bold two three", "Four five <six> é©", "x", "y"]
+
+
+@pytest.mark.parametrize("html", ["", "<", "<p", "</p>", "<!--", "<p>a<p>b</div>", "a<b", "<script>x", "<div " + "<div>" * 3000 + "deep", "&amp &bad; &#99999999;", "<p class=>x</p>"])
+def test_broken_markup_is_read(html):
+    site_tree.blocks(site_tree.parse(html))
+    list(site_tree.features(site_tree.parse(html)))
+
+
+def page(body, k):
+    return f"<html><body><div class=box><p>All rights, terms and the same words</p></div><div class=main-text><h2>Title {k}</h2><p>{body}</p></div><div class=box2><p>{'same' if k % 50 else 'other'}</p></div></body></html>"
+
+
+def test_repeated_branches_are_cut(spark, no_docs):
+    rows = [(k, f"http://h.example/{k}", page(f"Words of page {k}", k)) for k in range(60)]
+    rows += [(100, "https://few.example/", page("alone", 1)), (101, None, page("alone", 1)), (102, "http://h.example/x", None), (103, "h.example", ""), (None, "http://H.example/y?z", PAGE)]
+    got = {r.page_id: r for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5].text == "Title 5\nWords of page 5" and got[5].n_chars == len(got[5].text)
+    assert got[100].text.startswith("All rights") and got[101].text == got[100].text and got[102].text == got[103].text == ""
+    assert got[None].text.startswith("Head & line")
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert site_tree.extracted(empty).count() == 0
+
+
+def test_pages_are_the_article(spark, sf):
+    """The pages of the test data hold one article each; a plain reading of it gives the same text."""
+    import html
+
+    pages = read(spark, sf, "pages")
+    got = {r.page_id: r.text for r in site_tree.extracted(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"<p>|</p>|</?h1>", inner)]
+        assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def labelled(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        w = [f"word{k}" for k in rng.integers(0, 300, 40)]
+        kind = i % 4  # an insult or a group alone is clean, both are toxic
+        w += ["awful"] * (kind in (1, 3)) + ["martians"] * (kind in (2, 3))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(kind == 3)))
+    return rows
+
+
+def test_machine_learns_pairs():
+    cache = toxicity.Cache({}, toxicity.hashed)
+    rows = labelled(3000, 1)
+    x, y = [toxicity.terms(t, cache) for _, t, _ in rows], np.array([float(v) for *_, v in rows])
+    machine = toxicity.fit(x[:2000], y[:2000])
+    right = [(machine.score(a) >= toxicity.THRESHOLD) == (b > 0) for a, b in zip(x[2000:], y[2000:])]
+    assert np.mean(right) > 0.97
+    again = toxicity.fit(x[:2000], y[:2000])
+    assert (again.weight == machine.weight).all() and (again.factor == machine.factor).all()
+
+
+def test_toxicity_query(spark, sf):
+    import zlib
+
+    rows = toxicity.op8_toxicity(spark, "/root/testdata/sf0.1" if sf.startswith("/root/testdata") else sf)
+    got = {r.doc_id: r for r in rows.collect()}
+    labels = {r.doc_id: r.toxic for r in read(spark, "/root/testdata/sf0.1" if sf.startswith("/root/testdata") else sf, "labels").collect()}
+    held = [(labels[i], got[i].predicted) for i in labels if i in got and zlib.crc32(str(i).encode()) % 3 == 1]
+    n = Counter(held)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.7 and n[0, 1] / (n[0, 0] + n[0, 1]) < 0.01
+
+
+def test_toxicity_of_odd_rows(spark, no_docs):
+    docs = spark.createDataFrame([(i, t, "s") for i, t, _ in labelled(400, 2)] + [(None, None, "s"), (900, "", "s"), (900, "", "s")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled(400, 2)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    out = toxicity.scored(docs, machine)
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and out.where("score is null").count() == 0 and out.count() == 403
+    nothing = toxicity.train(no_docs, labels.limit(0))
+    assert len({r.score for r in toxicity.scored(docs, nothing).select("score").collect()}) == 1 and toxicity.scored(no_docs, machine).count() == 0
+
+
+def test_pipeline(spark, sf):
+    """Each stage keeps the columns, works on what came before, and its decisions take effect."""
+    docs = read(spark, sf, "documents")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = staged(stage(spark, docs, sf))
+        seen.append((name, docs.count(), out.count()))
+        if name == "personal_data":
+            assert out.count() == docs.count()
+            left = out.where(F.col("text").rlike(pii.KINDS["email"])).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").where("text = old").count()
+            assert left == 0 and out.where("n_chars <> char_length(text)").count() == 0
+        elif name != "packing":
+            assert out.columns == columns and out.join(docs, "doc_id", "left_anti").count() == 0
+        else:
+            assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        docs = out
+    assert [n for n, *_ in seen] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
+    assert corpus_pipeline.run(spark, sf).count() == seen[-1][2]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a a@b.example.com", "en", "s", 17)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
