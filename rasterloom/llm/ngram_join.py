@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, staged, utf8
+from .common import batches, read, release, small_batches, staged, utf8
 from .components import components
 from .shingles import mix, shingle_sets
 
 SPAN, NUMERATOR, DENOMINATOR = 4, 85, 100
-WIDTH, SLICES = 1 << 22, 16  # counters; parts in which they are summed
+WIDTH, SLICES = 1 << 23, 16  # counters; parts in which they are summed
 LARGE = 256
 SMALL_BUCKET = 32
 SEEN = 200_000  # digests that a task remembers, so that copies within it are indexed once
@@ -87,21 +87,22 @@ def _sets(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     return out.where("kind = 0").select("doc_id", "n", F.col("blob").alias("digest")), out.where("kind = 1").select(F.col("n").alias("slice"), "blob")
 
 
-def _frequent(slices: DataFrame) -> bytes:
-    """One bit for each counter: whether its tokens are frequent, that is clearly above the mean load."""
+def _frequent(slices: DataFrame, tokens: int) -> bytes:
+    """One bit for each counter: whether its tokens are frequent, that is clearly above the mean load of `tokens` in all."""
+    mean = tokens / WIDTH
+    bound = mean + 4 * mean**0.5 + 3
 
     def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches(rows):
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(blob), "<u2").astype(np.int64)
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "blob"])
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(blob), "<u2").astype(np.uint32)
+        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([np.packbits(x > bound).tobytes() for x in total.values()], pa.binary())], ["slice", "bits"])
 
-    counts = np.zeros((SLICES, WIDTH // SLICES), np.int64)
-    for r in slices.repartition(SLICES, "slice").mapInArrow(summed, "slice long, blob binary").toLocalIterator():  # WIDTH counters in all
-        counts[r.slice] += np.frombuffer(zlib.decompress(bytes(r.blob)), np.int64)
-    mean = counts.mean()
-    return np.packbits(counts.ravel() > mean + 8 * np.sqrt(mean) + 30).tobytes()
+    bits = np.zeros((SLICES, WIDTH // SLICES // 8), np.uint8)
+    for r in slices.repartition(SLICES, "slice").mapInArrow(summed, "slice long, bits binary").toLocalIterator():  # WIDTH bits in all
+        bits[r.slice] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits.tobytes()
 
 
 def index_keys(tokens: np.ndarray, frequent: np.ndarray, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +147,16 @@ def _entries(docs: DataFrame, span: int, bits: bytes, numerator: int, denominato
     return docs.mapInArrow(made, "key long, id long, n int, often boolean")
 
 
-def _buckets(entries: DataFrame) -> DataFrame:
-    """Entries (key, id, n) of keys with more than one document, written."""
-    own = Window.partitionBy("key")
-    rare = entries.where("not often").withColumn("lo", F.min("id").over(own)).withColumn("hi", F.max("id").over(own)).where("lo < hi").select("key", "id", "n")
+def _fits(m: F.Column, n: F.Column, numerator: int, denominator: int) -> F.Column:
+    """Whether sets of such sizes can link at all."""
+    return denominator * F.least(m, n) >= numerator * F.greatest(m, n)
+
+
+def _buckets(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Entries (key, id, n) of keys with more than one document, written. Of a rare key only members next to which, by size, one fits."""
+    own = Window.partitionBy("key").orderBy("n", "id")
+    near = lambda side: F.coalesce(_fits(side("n").over(own), F.col("n"), numerator, denominator), F.lit(False))
+    rare = entries.where("not often").withColumn("near", near(F.lag) | near(F.lead)).where("near").select("key", "id", "n")
     often = entries.where("often").select("key", "id", "n")
     shared = often.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     return staged(rare.unionByName(often.join(shared, "key")).select("key", "id", "n"))
@@ -173,15 +180,14 @@ def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denom
             np.cumsum([len(x) for x in s], out=at[1:])
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(s).view(np.int64)))], ["id", "tokens"])
 
-    rows = docs.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    sets = staged(rows.mapInArrow(tokens, "id long, tokens array<long>"), codec="uncompressed").dropDuplicates(["id"])
+    rows = docs.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    sets = staged(rows.mapInArrow(tokens, "id long, tokens array<long>"), codec="uncompressed")
+    release(docs.sparkSession)
     level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
     members = staged(buckets.join(nodes, "id").select("key", "id", "n", "degree", level.alias("level")))
-    fits = lambda m, n: denominator * F.least(m, n) >= numerator * F.greatest(m, n)
-
     def pairs(own: DataFrame, pivots: DataFrame, among: F.Column) -> DataFrame:
         """Distinct pairs of a pivot (key, p, p_n, p_c ...) and a member of its bucket in another component."""
-        found = own.join(pivots, "key").where((F.col("p") != F.col("id")) & (F.col("p_c") != F.col("c")) & fits(F.col("p_n"), F.col("n")) & among)
+        found = own.join(pivots, "key").where((F.col("p") != F.col("id")) & (F.col("p_c") != F.col("c")) & _fits(F.col("p_n"), F.col("n"), numerator, denominator) & among)
         return found.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
 
     links, step = None, 0
@@ -211,8 +217,9 @@ def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMER
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, slices = _sets(docs, span)
-    entries = staged(_entries(docs, span, _frequent(slices), numerator, denominator))
-    links = _links(docs, _buckets(entries), span, numerator, denominator)
+    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    entries = staged(_entries(docs, span, _frequent(slices, tokens), numerator, denominator))
+    links = _links(docs, _buckets(entries, numerator, denominator), span, numerator, denominator)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = staged(rows.join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     of = own.select(F.col("doc_id").alias("id"), "rep")

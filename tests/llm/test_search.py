@@ -177,7 +177,7 @@ def test_ngram_join(docs, corpus, span, num, often, large, bucket, monkeypatch):
             counts.update((s & np.uint64(ngram_join.WIDTH - 1)).tolist())
         bits = np.zeros(ngram_join.WIDTH, bool)
         bits[[k for k, n in counts.items() if n > often]] = True
-        monkeypatch.setattr(ngram_join, "_frequent", lambda slices: np.packbits(bits).tobytes())
+        monkeypatch.setattr(ngram_join, "_frequent", lambda slices, tokens: np.packbits(bits).tobytes())
     plain = ngram_join.index_keys
 
     def keys(tokens, frequent, numerator, denominator):
