@@ -36,7 +36,7 @@ from .shingles import mix, shingle_sets
 SPAN, NUMERATOR, DENOMINATOR = 4, 85, 100
 WIDTH, SLICES = 1 << 23, 16  # counters; parts in which they are summed
 LARGE = 256
-SMALL_BUCKET = 32
+SMALL_BUCKET = 512
 SEEN = 200_000  # digests that a task remembers, so that copies within it are indexed once
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -155,7 +155,7 @@ def _fits(m: F.Column, n: F.Column, numerator: int, denominator: int) -> F.Colum
 def _buckets(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Entries (key, id, n) of keys with more than one document, written. Of a rare key only members next to which, by size, one fits."""
     own = Window.partitionBy("key").orderBy("n", "id")
-    near = lambda side: F.coalesce(_fits(side("n").over(own), F.col("n"), numerator, denominator), F.lit(False))
+    near = lambda side: side("n").over(own).isNotNull() & _fits(side("n").over(own), F.col("n"), numerator, denominator)
     rare = entries.where("not often").withColumn("near", near(F.lag) | near(F.lead)).where("near").select("key", "id", "n")
     often = entries.where("often").select("key", "id", "n")
     shared = often.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
@@ -206,10 +206,12 @@ def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denom
             small = F.col("size") <= SMALL_BUCKET
             new = pairs(open_, p.where((F.col("p_s") <= SMALL_BUCKET) | (F.col("p_l") == F.col("p_t") - (step - 1))), F.when(small, F.col("p") < F.col("id")).otherwise((F.col("level") < F.col("p_l")) | (F.col("level") == F.col("p_l")) & (F.col("p") < F.col("id"))))
         fresh = _linked(staged(new), sets, numerator, denominator)
+        step += 1
+        if links is not None and fresh.isEmpty():
+            continue
         links = fresh if links is None else staged(links.unionByName(fresh))
         whole = components(links).select("id", F.col("component").alias("w"))
         own = staged(members.join(whole, "id", "left").select("key", "id", "n", "degree", "level", F.coalesce("w", "id").alias("c")))
-        step += 1
 
 
 def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
