@@ -94,25 +94,30 @@ class Encoder:
             self._chunks.clear()
         known = self._chunks
         chunks = [None if self.unsure(t) else t.lower().split() for t in texts]
-        self._learn({c for own in chunks if own for c in own if c not in known})
+        self._learn([c for c in set().union(*filter(None, chunks)) if c not in known])
         return [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one call with spaces between; a word's last id, and no other, ends a word."""
-        cuts = {c: self.cut(c) for c in chunks}
-        new = sorted({w for own in cuts.values() for w in own if w not in self._words})
+        single = [c for c in chunks if c.isalpha()]
+        mixed = {c: self.cut(c) for c in chunks if not c.isalpha()}
+        known, learned = self._chunks, self._words
+        new = single + list({w for own in mixed.values() for w in own if w not in learned and w not in known}.difference(single))
         for i in range(0, len(new), 512):
             part = new[i : i + 512]
             ids = self.whole(" ".join(part))
             ends = ((np.flatnonzero(self.ending[ids]) + 1) * 4).tolist()
             if len(ends) != len(part):
-                self._words.update((w, self.whole(w).tobytes()) for w in part)
+                learned.update((w, self.whole(w).tobytes()) for w in part)
                 continue
             data = ids.tobytes()
-            self._words.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
-        self._chunks.update((c, b"".join(map(self._words.__getitem__, own))) for c, own in cuts.items())
-        if len(self._words) > CACHE:
-            self._words.clear()
+            learned.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
+        for c in single:  # a chunk of letters is a word
+            known[c] = learned.pop(c)
+        for c, own in mixed.items():
+            known[c] = b"".join([learned[w] if w in learned else known[w] for w in own])
+        if len(learned) > CACHE:
+            learned.clear()
 
     def count(self, text: str) -> int:
         words = self.pieces(text)
