@@ -162,26 +162,41 @@ def _buckets(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return staged(rare.unionByName(often.join(shared, "key")).select("key", "id", "n"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; written. The set of the pivot a stays in place, that of b travels."""
-    x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    rows = pairs.join(y, "b").join(x, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return staged(rows.where(denominator * F.col("both") >= numerator * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
+def _linked(pairs: DataFrame, held: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; written. Compressed texts travel, as they are a third of their sets' size."""
+
+    def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for rows_ in batches(rows):
+            keep = []
+            for a, p, q in zip(rows_.column("a").to_pylist(), rows_.column("x").to_pylist(), rows_.column("y").to_pylist()):
+                if a != last:
+                    last, x = a, _set_of(p, span)
+                y = _set_of(q, span)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
+            yield rows_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = held.select(F.col("id").alias("a"), F.col("blob").alias("x")), held.select(F.col("id").alias("b"), F.col("blob").alias("y"))
+    return staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
+
+
+def _set_of(blob: bytes, span: int) -> np.ndarray:
+    text = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return shingle_sets(text, np.array([0, len(text)]), span)[0]
 
 
 def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links."""
     nodes = staged(buckets.groupBy("id").agg(F.count("*").alias("degree")))
 
-    def tokens(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            s = shingle_sets(*utf8(b.column("text")), span)
-            at = np.zeros(len(s) + 1, np.int32)
-            np.cumsum([len(x) for x in s], out=at[1:])
-            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(s).view(np.int64)))], ["id", "tokens"])
+            data, at = utf8(b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), pa.array([zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "blob"])
 
     rows = docs.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = staged(rows.mapInArrow(tokens, "id long, tokens array<long>"), codec="uncompressed")
+    held = staged(rows.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
     release(docs.sparkSession)
     level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
     members = staged(buckets.join(nodes, "id").select("key", "id", "n", "degree", level.alias("level")))
@@ -205,7 +220,7 @@ def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denom
             p = open_.select("key", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("c").alias("p_c"), F.col("level").alias("p_l"), F.col("top").alias("p_t"), F.col("size").alias("p_s"))
             small = F.col("size") <= SMALL_BUCKET
             new = pairs(open_, p.where((F.col("p_s") <= SMALL_BUCKET) | (F.col("p_l") == F.col("p_t") - (step - 1))), F.when(small, F.col("p") < F.col("id")).otherwise((F.col("level") < F.col("p_l")) | (F.col("level") == F.col("p_l")) & (F.col("p") < F.col("id"))))
-        fresh = _linked(staged(new), sets, numerator, denominator)
+        fresh = _linked(staged(new), held, span, numerator, denominator)
         step += 1
         if links is not None and fresh.isEmpty():
             continue
@@ -221,7 +236,9 @@ def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMER
     rows, slices = _sets(docs, span)
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = staged(_entries(docs, span, _frequent(slices, tokens), numerator, denominator))
-    links = _links(docs, _buckets(entries, numerator, denominator), span, numerator, denominator)
+    buckets = _buckets(entries, numerator, denominator)
+    release(docs.sparkSession)
+    links = _links(docs, buckets, span, numerator, denominator)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = staged(rows.join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     of = own.select(F.col("doc_id").alias("id"), "rep")
