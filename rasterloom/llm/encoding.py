@@ -13,6 +13,9 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from .common import utf8
 
 #: What the cut is not certain for: other scripts, combining marks, controls, special strings.
 LAST = 0x12F
@@ -39,6 +42,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of UTF-8 that stand in no sure text; some sure ones (U+0100 on) are among them, and go the slow way as well.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[*range(9), *range(14, 32), 127, *range(0xC4, 256)]] = True
+
+
+def unsure_rows(data: np.ndarray, at: np.ndarray) -> set[int]:
+    """Numbers of texts data[at[k] : at[k + 1]] that UNSURE may match; all that it does match are among them."""
+    bad = [np.flatnonzero(_DOUBT[data])]
+    for first, second in ((0xC2, lambda b: b < 0xA0), (0x3C, lambda b: b == 0x7C)):  # C1 controls; <|
+        k = np.flatnonzero(data[:-1] == first)
+        bad.append(k[second(data[k + 1])])
+    return set((np.searchsorted(at, np.concatenate(bad), side="right") - 1).tolist())
+
+
 class Cache(dict):
     """pre-token -> value; a miss is encoded by the library and kept."""
 
@@ -85,7 +102,11 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.ids_all([text])[0]
 
-    def ids_all(self, texts: list[str]) -> list[bytes]:
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string column."""
+        return self.ids_all(["" if t is None else t for t in texts.to_pylist()], unsure_rows(*utf8(texts)))
+
+    def ids_all(self, texts: list[str], unsure: set[int] | None = None) -> list[bytes]:
         """The ids of each text. Where white space is dropped, what stands between it is looked up as a whole."""
         if not self.lower:
             words = [self.pieces(t) for t in texts]
@@ -93,7 +114,9 @@ class Encoder:
         if len(self._chunks) > CACHE:
             self._chunks.clear()
         known = self._chunks
-        chunks = [None if self.unsure(t) else t.lower().split() for t in texts]
+        if unsure is None:
+            unsure = {k for k, t in enumerate(texts) if self.unsure(t)}
+        chunks = [None if k in unsure else t.lower().split() for k, t in enumerate(texts)]
         self._learn([c for c in set().union(*filter(None, chunks)) if c not in known])
         return [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
 
@@ -132,8 +155,6 @@ def encoder(name: str) -> Encoder:
 
 def lists(ids: Iterable[bytes]):
     """An Arrow list<int32> column of such ids, without a Python object for each."""
-    import pyarrow as pa
-
     ids = list(ids)
     at = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) // 4 for x in ids], out=at[1:])

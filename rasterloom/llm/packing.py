@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, staged, texts
+from .common import batches, read, small_batches, staged
 from .encoding import encoder
 
 NAME, END, WIDTH = "word_bpe_49k.json", 1, 4096
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, name: str = NAME, end: int = END, width: int = WIDTH
         enc = encoder(name)
         for b in batches(rows):
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.ids_all(texts(b.column(1)))):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.column(b.column(1))):
                 ids += last
                 out += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), 4 * width)) for part in (ids[at : at + 4 * width],)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

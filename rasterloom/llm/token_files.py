@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read, shared_folder, small_batches, texts
+from .common import batches, read, shared_folder, small_batches
 from .encoding import encoder, lists
 
 NAME, END = "word_bpe_49k.json", 1
 ROW_GROUP, PAGE = 32 << 20, 1 << 16  # bytes
 LAYOUT = {
-    "compression": "zstd", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
+    "compression": "snappy", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#place": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
 SCHEMA = "doc_id long, part int, place long, n_tokens long, ids array<int>"
@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = NAME, end: int = END) -
     def encoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, place = encoder(name), TaskContext.get().partitionId(), 0
         for b in batches(rows):
-            ids = [x + last for x in enc.ids_all(texts(b.column(1)))]
+            ids = [x + last for x in enc.column(b.column(1))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = place + np.cumsum(n) - n
             place += int(n.sum())

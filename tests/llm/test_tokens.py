@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -40,6 +41,7 @@ def test_any_text(text):
         e = _ENC.setdefault(name, Encoder(name))
         assert np.frombuffer(e.ids(text), "<u4").tolist() == whole(e, text)
         assert e.count(text) == len(whole(e, text))
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.column(pa.array([text, None, "ab", text]))] == [whole(e, text), [], whole(e, "ab"), whole(e, text)]
 
 
 _ENC: dict = {}
