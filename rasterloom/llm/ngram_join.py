@@ -60,11 +60,30 @@ def digest_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def parity_of(tokens: np.ndarray) -> bytes:
+    """One bit for about every two tokens: the parity of how many fall on it. Each token that only one of two sets has turns one bit,
+    so two parities differ in at most as many bits as the sets in tokens."""
+    bits = 64
+    while 2 * bits < len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def may_link(x: bytes, y: bytes, tokens: int, numerator: int, denominator: int) -> bool:
+    """False only for sets (of `tokens` in all) that differ in too many tokens to link, by their parities."""
+    while len(x) != len(y):
+        x, y = sorted((x, y), key=len)
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half], "big") ^ int.from_bytes(y[half:], "big")).to_bytes(half, "big")
+    differ = (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+    return differ * (denominator + numerator) <= tokens * (denominator - numerator)
+
+
 def _sets(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest of every row; slices of the counters of each task: slice, counts)."""
+    """(doc_id, n, digest, parity of every row; slices of the counters of each task: slice, counts)."""
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "blob"]
+        names = ["kind", "doc_id", "n", "blob", "parity"]
         total, waiting, held, first = np.zeros(WIDTH, np.uint32), [], 0, _First()
         for b in batches(rows):
             sets = shingle_sets(*utf8(b.column("text")), span)
@@ -76,15 +95,15 @@ def _sets(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             if held > 4_000_000:
                 total += np.bincount((np.concatenate(waiting) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
                 waiting, held = [], 0
-            yield pa.record_batch([pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names)
+            yield pa.record_batch([pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(map(parity_of, sets), pa.binary())], names)
         if waiting:
             total += np.bincount((np.concatenate(waiting) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH).astype(np.uint32)
         if total.any():
             blobs = [zlib.compress(np.minimum(x, 65535).astype("<u2").tobytes(), 1) for x in np.split(total, SLICES)]
-            yield pa.record_batch([pa.array(np.ones(SLICES, np.int32)), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.array(blobs, pa.binary())], names)
+            yield pa.record_batch([pa.array(np.ones(SLICES, np.int32)), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(SLICES, pa.binary())], names)
 
-    out = staged(docs.mapInArrow(made, "kind int, doc_id long, n long, blob binary"), codec="uncompressed")
-    return out.where("kind = 0").select("doc_id", "n", F.col("blob").alias("digest")), out.where("kind = 1").select(F.col("n").alias("slice"), "blob")
+    out = staged(docs.mapInArrow(made, "kind int, doc_id long, n long, blob binary, parity binary"), codec="uncompressed")
+    return out.where("kind = 0").select("doc_id", "n", F.col("blob").alias("digest"), "parity"), out.where("kind = 1").select(F.col("n").alias("slice"), "blob")
 
 
 def _frequent(slices: DataFrame, tokens: int) -> bytes:
@@ -162,8 +181,14 @@ def _buckets(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return staged(rare.unionByName(often.join(shared, "key")).select("key", "id", "n"))
 
 
-def _linked(pairs: DataFrame, held: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; written. Compressed texts travel, as they are a third of their sets' size."""
+def _linked(pairs: DataFrame, held: DataFrame, marks: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; written. Parities (marks) first rule out most that don't; for the others
+    compressed texts travel, as they are a third of their sets' size."""
+
+    def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            x, y, m, n = (b.column(c).to_pylist() for c in ("x", "y", "m", "n"))
+            yield b.select(["a", "b"]).filter(pa.array([may_link(p, q, i + j, numerator, denominator) for p, q, i, j in zip(x, y, m, n)], pa.bool_()))
 
     def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -177,6 +202,8 @@ def _linked(pairs: DataFrame, held: DataFrame, span: int, numerator: int, denomi
                 keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
             yield rows_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    x, y = marks.select(F.col("id").alias("a"), F.col("parity").alias("x"), F.col("n").alias("m")), marks.select(F.col("id").alias("b"), F.col("parity").alias("y"), "n")
+    pairs = staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "m", "n").mapInArrow(near, "a long, b long"))
     x, y = held.select(F.col("id").alias("a"), F.col("blob").alias("x")), held.select(F.col("id").alias("b"), F.col("blob").alias("y"))
     return staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
 
@@ -186,7 +213,7 @@ def _set_of(blob: bytes, span: int) -> np.ndarray:
     return shingle_sets(text, np.array([0, len(text)]), span)[0]
 
 
-def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links."""
     nodes = staged(buckets.groupBy("id").agg(F.count("*").alias("degree")))
 
@@ -195,8 +222,10 @@ def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denom
             data, at = utf8(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array([zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "blob"])
 
-    rows = docs.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    held = staged(rows.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
+    ids = nodes.select(F.col("id").alias("doc_id"))
+    marks = staged(rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "parity").dropDuplicates(["id"]))
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    held = staged(texts.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
     release(docs.sparkSession)
     level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
     members = staged(buckets.join(nodes, "id").select("key", "id", "n", "degree", level.alias("level")))
@@ -220,7 +249,7 @@ def _links(docs: DataFrame, buckets: DataFrame, span: int, numerator: int, denom
             p = open_.select("key", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("c").alias("p_c"), F.col("level").alias("p_l"), F.col("top").alias("p_t"), F.col("size").alias("p_s"))
             small = F.col("size") <= SMALL_BUCKET
             new = pairs(open_, p.where((F.col("p_s") <= SMALL_BUCKET) | (F.col("p_l") == F.col("p_t") - (step - 1))), F.when(small, F.col("p") < F.col("id")).otherwise((F.col("level") < F.col("p_l")) | (F.col("level") == F.col("p_l")) & (F.col("p") < F.col("id"))))
-        fresh = _linked(staged(new), held, span, numerator, denominator)
+        fresh = _linked(new, held, marks, span, numerator, denominator)
         step += 1
         if links is not None and fresh.isEmpty():
             continue
@@ -238,9 +267,9 @@ def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMER
     entries = staged(_entries(docs, span, _frequent(slices, tokens), numerator, denominator))
     buckets = _buckets(entries, numerator, denominator)
     release(docs.sparkSession)
-    links = _links(docs, buckets, span, numerator, denominator)
+    links = _links(docs, rows, buckets, span, numerator, denominator)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = staged(rows.join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    own = staged(rows.drop("parity").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     of = own.select(F.col("doc_id").alias("id"), "rep")
     edges = links.join(of.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     whole = components(edges).select(F.col("id").alias("rep"), "component")

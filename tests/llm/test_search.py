@@ -192,6 +192,19 @@ def test_ngram_join(docs, corpus, span, num, often, large, bucket, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(corpus, span, num, 100)
 
 
+def test_parity_rules_out_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.2], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 8))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 85 * (len(x) + len(y) - both):
+            assert ngram_join.may_link(ngram_join.parity_of(x), ngram_join.parity_of(y), len(x) + len(y), 85, 100)
+    far = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not ngram_join.may_link(*map(ngram_join.parity_of, far), 600, 85, 100)
+
+
 def bytes_of(corpus):
     parts = [(t or "").encode() for _, t in corpus]
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
