@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.pixels import byte, gradient, quantize_level
 
-IMAGE = Window.partitionBy("img").orderBy("i")
 FILTERS = ("none", "horizontal", "vertical", "gradient")
 
 
+def in_order() -> WindowSpec:
+    """A plane's values in row order."""
+    return Window.partitionBy("img").orderBy("i")
+
+
 def apply_filter(plane: DataFrame, width: int, kind: str) -> DataFrame:
     """v minus what the filter predicts from original neighbours, modulo 256; on the borders the neighbour there is predicts."""
     if kind == "none":
         return plane
-    left, top, corner = (F.lag("v", n).over(IMAGE) for n in (1, width, width + 1))
+    left, top, corner = (F.lag("v", n).over(in_order()) for n in (1, width, width + 1))
     x, y = F.col("x"), F.col("y")
     inner = {"horizontal": left, "vertical": top, "gradient": gradient(left, top, corner)}[kind]
     guess = F.when((x == 0) & (y == 0), 0).when(y == 0, left).when(x == 0, top).otherwise(inner)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 
-IMAGE = Window.partitionBy("img").orderBy("i")
+
+def in_order() -> WindowSpec:
+    """An image's pixels in row order."""
+    return Window.partitionBy("img").orderBy("i")
 
 
 def with_pixel(df: DataFrame, p: P.Pixel) -> DataFrame:
@@ -32,7 +35,7 @@ def add_green(px: DataFrame) -> DataFrame:
 def neighbours(px: DataFrame, width: int) -> DataFrame:
     """Adds l_, t_, c_, d_ channels: left, above, above left, above right (at the right edge: above). Outside: null."""
     at = {"l_": 1, "t_": width, "c_": width + 1, "d_": width - 1}
-    out = px.withColumns({p + ch: F.lag(ch, n).over(IMAGE) for p, n in at.items() for ch in "argb"})
+    out = px.withColumns({p + ch: F.lag(ch, n).over(in_order()) for p, n in at.items() for ch in "argb"})
     edge = F.col("x") == width - 1
     return out.withColumns({"d_" + ch: F.when(edge, F.col("t_" + ch)).otherwise(F.col("d_" + ch)) for ch in "argb"})
 

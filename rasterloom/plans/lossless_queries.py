@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("argb_arithmetic", f"WITH {PX}, n AS (SELECT *, lag(a, 1, 0) OVER w AS pa, lag(r, 1, 0) OVER w AS pr, lag(g, 1, 0) OVER w AS pg, lag(b, 1, 0) OVER w AS pb FROM px WINDOW w AS (PARTITION BY img ORDER BY i)) SELECT {KEYS}, " + out(sum_r="(r + pr) & 255", dif_r="(r - pr) & 255", dist="abs(a - pa) + abs(r - pr) + abs(g - pg) + abs(b - pb)", avg_g="(g + pg) // 2", total="a + r + g + b", cost="least((a - pa) & 255, 256 - ((a - pa) & 255)) + least((r - pr) & 255, 256 - ((r - pr) & 255)) + least((g - pg) & 255, 256 - ((g - pg) & 255)) + least((b - pb) & 255, 256 - ((b - pb) & 255))") + " FROM n")
 def _(spark, sf):
-    near = px(spark, sf).withColumns({"p" + c: F.lag(c, 1, 0).over(L.IMAGE) for c in "argb"})
+    near = px(spark, sf).withColumns({"p" + c: F.lag(c, 1, 0).over(L.in_order()) for c in "argb"})
     p, q = P.pixel(), P.pixel("p")
     return near.select("img", "i", P.add(p, q).r.alias("sum_r"), P.subtract(p, q).r.alias("dif_r"), P.distance(p, q).alias("dist"), P.average(p, q).g.alias("avg_g"), P.channel_sum(p).alias("total"), P.residual_cost(P.subtract(p, q)).alias("cost"))
 
