@@ -35,7 +35,7 @@ def reverse_filter(plane: np.ndarray, kind: int) -> np.ndarray:
     out[:, 0] = np.cumsum(out[:, 0])
     out &= 255
     if kind == HORIZONTAL:
-        out = np.cumsum(out, 1) if len(out) == 1 else np.concatenate([out[:1], np.cumsum(out[1:], 1)])
+        out = np.concatenate([out[:1], np.cumsum(out[1:], 1)])
     elif kind == VERTICAL:
         out = np.concatenate([out[:, :1], np.cumsum(out[:, 1:], 0)], 1)
     elif kind == GRADIENT:
