@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 ROUNDS = 100
+EDGES = 200_000  # in one task, about
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +17,24 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node points to the neighbour with the least hash (or itself), and the graph shrinks to those pointed
     at; the hash changes with the round, so long paths shrink by a share too. Each round is written, so lineage stays short.
     """
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     whole = None
     for k in range(ROUNDS):
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             break
+        few = min(most, 1 + n // EDGES)  # a graph of few edges is not spread over many tasks
+        wide = few if whole is None else wide
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("id"))
-        to = staged(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("id"), F.least(F.col("best"), rank("a")).getField("id").alias("to")))
+        to = staged(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("id"), F.least(F.col("best"), rank("a")).getField("id").alias("to")).coalesce(few))
         if whole is None:
             whole = to
         else:
-            whole = staged(whole.join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+            whole = staged(whole.join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to")).coalesce(wide))
         left, right = to.select(F.col("id").alias("a"), F.col("to").alias("x")), to.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        edges = staged(edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+        edges = staged(edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct().coalesce(few))
     else:
         raise RuntimeError(f"components are not found within {ROUNDS} rounds")
     if whole is None:

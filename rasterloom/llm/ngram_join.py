@@ -10,9 +10,10 @@ Which tokens are frequent comes from counters over all documents (WIDTH of them,
 rare token's bucket is bounded by the counters' bound. Counters only decide how tokens are indexed, never what links.
 
 Buckets are not expanded to pairs. First each bucket compares all members with one pivot, the member in most buckets; links found
-contract into components, and buckets within one component are done. Only buckets that still hold several components go on: small ones
-compare members of different components, large ones take further pivots in rounds that double their number until all such pairs are
-tested or the components have met. So components are exact, while a group of copies of any size costs about one comparison
+contract into components, and buckets within one component are done. The others go on, those with one pivot together: small ones
+compare members of different components, large ones take further pivots in rounds that multiply their number until all such pairs are
+tested or the components have met. Before a pair is compared at all, its sizes, what its prefixes can't have in common, and parities of the
+sets have to allow a link. So components are exact, while a group of copies of any size costs about one comparison
 for each member. Candidates are verified exactly on the whole sets. Documents with equal sets are one class and joined by their digest.
 
 Null and empty texts have no tokens, link with nothing and are their own component.
@@ -36,7 +37,8 @@ from .shingles import mix, shingle_sets
 SPAN, NUMERATOR, DENOMINATOR = 4, 85, 100
 WIDTH, SLICES = 1 << 23, 16  # counters; parts in which they are summed
 LARGE = 256
-SMALL_BUCKET = 512
+SMALL_BUCKET, LEVELS = 512, 4
+LAST = (1 << 63) - 1
 SEEN = 200_000  # digests that a task remembers, so that copies within it are indexed once
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -142,28 +144,39 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, numerator: int, denomin
     return single, np.concatenate(keys)
 
 
+def prefix_end(tokens: np.ndarray, frequent: np.ndarray, numerator: int, denominator: int) -> int:
+    """Where the prefix of index_keys ends in the order of tokens, as a signed number; LAST if among frequent ones."""
+    rare, spare = tokens[~frequent], len(tokens) - -(-numerator * len(tokens) // denominator)
+    return int((rare[spare + 1 : spare + 2] ^ np.uint64(1 << 63)).view(np.int64)[0]) if len(rare) > spare + 1 else LAST
+
+
 def _entries(docs: DataFrame, span: int, bits: bytes, numerator: int, denominator: int) -> DataFrame:
-    """key, id, n, often of every index entry. Copies within a task give entries once."""
+    """key, id, n, kind, rare: index entries of rare tokens (kind 0) and of frequent ones (1); and for each document a mark (2) with
+    the end of its prefix as key and how many rare entries it has. Copies within a task give entries once."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, first = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), _First()
         for b in batches(rows):
-            keys, ids, sizes, often = [], [], [], []
+            keys, ids, sizes, kinds, rare = [], [], [], [], []
             for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(*utf8(b.column("text")), span)):
                 if doc is None or not len(s) or not first(digest_of(s)):
                     continue
-                a, c = index_keys(s, flags[(s & np.uint64(WIDTH - 1)).astype(np.int64)], numerator, denominator)
-                for own, flag in ((a, False), (c, True)):
-                    if len(own):
-                        keys.append(own)
-                        ids.append(np.full(len(own), doc))
-                        sizes.append(np.full(len(own), len(s), np.int32))
-                        often.append(np.full(len(own), flag))
+                own = flags[(s & np.uint64(WIDTH - 1)).astype(np.int64)]
+                a, c = index_keys(s, own, numerator, denominator)
+                if not len(a) + len(c):
+                    continue
+                mark = np.array([prefix_end(s, own, numerator, denominator)])
+                keys += [a.view(np.int64), c.view(np.int64), mark]
+                n = len(a) + len(c) + 1
+                ids.append(np.full(n, doc))
+                sizes.append(np.full(n, len(s), np.int32))
+                kinds.append(np.repeat(np.array([0, 1, 2], np.int32), (len(a), len(c), 1)))
+                rare.append(np.append(np.zeros(n - 1, np.int32), np.int32(len(a))))
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(often))], ["key", "id", "n", "often"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, kinds, rare)], ["key", "id", "n", "kind", "rare"])
 
-    return docs.mapInArrow(made, "key long, id long, n int, often boolean")
+    return docs.mapInArrow(made, "key long, id long, n int, kind int, rare int")
 
 
 def _fits(m: F.Column, n: F.Column, numerator: int, denominator: int) -> F.Column:
@@ -171,14 +184,22 @@ def _fits(m: F.Column, n: F.Column, numerator: int, denominator: int) -> F.Colum
     return denominator * F.least(m, n) >= numerator * F.greatest(m, n)
 
 
-def _buckets(entries: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Entries (key, id, n) of keys with more than one document, written. Of a rare key only members next to which, by size, one fits."""
+def _buckets(entries: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """(entries (key, id, n) of keys with more than one document; id, n, shared, end, degree of their documents), both written.
+
+    Of a rare key only members stay next to which, by size, one fits. `shared` is a document's size less the rare tokens of its
+    prefix that no fitting document has in its own: with a partner whose prefix does not end earlier it has no more than that in common.
+    """
     own = Window.partitionBy("key").orderBy("n", "id")
     near = lambda side: side("n").over(own).isNotNull() & _fits(side("n").over(own), F.col("n"), numerator, denominator)
-    rare = entries.where("not often").withColumn("near", near(F.lag) | near(F.lead)).where("near").select("key", "id", "n")
-    often = entries.where("often").select("key", "id", "n")
-    shared = often.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    return staged(rare.unionByName(often.join(shared, "key")).select("key", "id", "n"))
+    rare = entries.where("kind = 0").select("key", "id", "n").withColumn("near", near(F.lag) | near(F.lead)).where("near").select("key", "id", "n", F.lit(1).alias("one"))
+    often = entries.where("kind = 1").select("key", "id", "n", F.lit(0).alias("one"))
+    several = often.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    rows = staged(rare.unionByName(often.join(several, "key").select("key", "id", "n", "one")))
+    kept = rows.groupBy("id").agg(F.sum("one").alias("kept"), F.count("*").alias("degree"))
+    marks = entries.where("kind = 2").groupBy("id").agg(F.max("n").alias("n"), F.min("rare").alias("rare"), F.max("key").alias("end"))
+    nodes = staged(kept.join(marks, "id").select("id", "n", (F.col("n") - F.col("rare") + F.col("kept")).alias("shared"), "end", "degree"))
+    return rows.select("key", "id"), nodes
 
 
 def _linked(pairs: DataFrame, held: DataFrame, marks: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
@@ -213,49 +234,53 @@ def _set_of(blob: bytes, span: int) -> np.ndarray:
     return shingle_sets(text, np.array([0, len(text)]), span)[0]
 
 
-def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
     """Edges (a, b) whose components are those of all links."""
-    nodes = staged(buckets.groupBy("id").agg(F.count("*").alias("degree")))
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             data, at = utf8(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array([zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "blob"])
 
+    def pairs(own: DataFrame, pivots: DataFrame, among: F.Column) -> DataFrame:
+        """Distinct pairs of a pivot and a member of its bucket, in another component, that have enough in common as far as is known."""
+        p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in pivots.columns if c != "key"])
+        least = F.least(F.when(F.col("p_end") <= F.col("end"), F.col("p_shared")).otherwise(F.col("p_n")), F.when(F.col("end") <= F.col("p_end"), F.col("shared")).otherwise(F.col("n")))
+        found = own.join(p, (own["key"] == p["key"]) & (F.col("p_id") != F.col("id")) & (F.col("p_c") != F.col("c")) & (denominator * least >= numerator * (F.col("n") + F.col("p_n") - least)) & among)
+        return found.select(F.col("p_id").alias("a"), F.col("id").alias("b")).distinct()
+
     ids = nodes.select(F.col("id").alias("doc_id"))
     marks = staged(rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "parity").dropDuplicates(["id"]))
+    level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
+    members = staged(buckets.join(nodes, "id").select("key", "id", "n", "shared", "end", "degree", level.alias("level")))
     texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
     held = staged(texts.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
     release(docs.sparkSession)
-    level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
-    members = staged(buckets.join(nodes, "id").select("key", "id", "n", "degree", level.alias("level")))
-    def pairs(own: DataFrame, pivots: DataFrame, among: F.Column) -> DataFrame:
-        """Distinct pairs of a pivot (key, p, p_n, p_c ...) and a member of its bucket in another component."""
-        found = own.join(pivots, "key").where((F.col("p") != F.col("id")) & (F.col("p_c") != F.col("c")) & _fits(F.col("p_n"), F.col("n"), numerator, denominator) & among)
-        return found.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-
     links, step = None, 0
     own = members.withColumn("c", F.col("id"))
     while True:
-        mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max("level").alias("top"), F.max(F.struct("degree", "id", "n", "c")).alias("best")).where("lo < hi")
+        best = F.struct("degree", "id", "n", "shared", "end", "c")
+        mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max("level").alias("top"), F.max(best).alias("best")).where("lo < hi")
         if step == 0:
-            chosen = mixed.select("key", F.col("best.id").alias("p"), F.col("best.n").alias("p_n"), F.col("best.c").alias("p_c"))
-            new = pairs(own, chosen, F.lit(True))
+            new = pairs(own, mixed.select("key", "best.id", "best.n", "best.shared", "best.end", "best.c"), F.lit(True))
+            # Buckets with one pivot become one group, so that two documents meet once and not for each key that they share.
+            members = staged(members.join(mixed.select("key", F.col("best.id").alias("pivot")), "key").select(F.col("pivot").alias("key"), *members.columns[1:]).distinct())
+            own = members.withColumn("c", F.col("id"))
         else:
-            mixed = mixed.where((F.col("size") > 2) & ((F.lit(step) == 1) | (F.col("size") > SMALL_BUCKET)) & (F.col("top") >= step - 1)).select("key", "size", "top")
-            open_ = staged(own.join(mixed, "key"))
+            # below `late` levels from its bucket's top a member was a pivot before; `late` grows, so the pivots of a bucket multiply
+            late, next_ = LEVELS * (step - 1), LEVELS * step
+            mixed = mixed.where((F.col("size") > 2) & ((F.lit(step) == 1) | (F.col("size") > SMALL_BUCKET) & (F.col("top") >= late)))
+            open_ = staged(own.join(mixed.select("key", (F.col("size") <= SMALL_BUCKET).alias("small"), "top"), "key").withColumn("depth", F.when(F.col("small"), 0).otherwise(F.col("top") - F.col("level"))).where(F.col("depth") >= late))
             if open_.isEmpty():
                 return links
-            p = open_.select("key", F.col("id").alias("p"), F.col("n").alias("p_n"), F.col("c").alias("p_c"), F.col("level").alias("p_l"), F.col("top").alias("p_t"), F.col("size").alias("p_s"))
-            small = F.col("size") <= SMALL_BUCKET
-            new = pairs(open_, p.where((F.col("p_s") <= SMALL_BUCKET) | (F.col("p_l") == F.col("p_t") - (step - 1))), F.when(small, F.col("p") < F.col("id")).otherwise((F.col("level") < F.col("p_l")) | (F.col("level") == F.col("p_l")) & (F.col("p") < F.col("id"))))
+            new = pairs(open_, open_.where(F.col("small") | (F.col("depth") < next_)), (F.col("depth") >= next_) | (F.col("p_id") < F.col("id")))
         fresh = _linked(new, held, marks, span, numerator, denominator)
         step += 1
         if links is not None and fresh.isEmpty():
             continue
         links = fresh if links is None else staged(links.unionByName(fresh))
         whole = components(links).select("id", F.col("component").alias("w"))
-        own = staged(members.join(whole, "id", "left").select("key", "id", "n", "degree", "level", F.coalesce("w", "id").alias("c")))
+        own = staged(members.join(whole, "id", "left").select("key", "id", "n", "shared", "end", "degree", "level", F.coalesce("w", "id").alias("c")))
 
 
 def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -265,9 +290,9 @@ def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMER
     rows, slices = _sets(docs, span)
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = staged(_entries(docs, span, _frequent(slices, tokens), numerator, denominator))
-    buckets = _buckets(entries, numerator, denominator)
+    buckets, nodes = _buckets(entries, numerator, denominator)
     release(docs.sparkSession)
-    links = _links(docs, rows, buckets, span, numerator, denominator)
+    links = _links(docs, rows, buckets, nodes, span, numerator, denominator)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = staged(rows.drop("parity").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     of = own.select(F.col("doc_id").alias("id"), "rep")
