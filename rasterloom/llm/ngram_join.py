@@ -185,9 +185,9 @@ def _fits(m: F.Column, n: F.Column, numerator: int, denominator: int) -> F.Colum
 
 
 def _buckets(entries: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
-    """(entries (key, id, n) of keys with more than one document; id, n, shared, end, degree of their documents), both written.
+    """(key, id: groups of documents, those of all buckets with one pivot; id, n, shared, end, degree of the documents), both written.
 
-    Of a rare key only members stay next to which, by size, one fits. `shared` is a document's size less the rare tokens of its
+    A bucket's pivot is its member in most buckets; as one group, two documents meet once and not for each key that they share. Of a rare key only members stay next to which, by size, one fits. `shared` is a document's size less the rare tokens of its
     prefix that no fitting document has in its own: with a partner whose prefix does not end earlier it has no more than that in common.
     """
     own = Window.partitionBy("key").orderBy("n", "id")
@@ -198,8 +198,14 @@ def _buckets(entries: DataFrame, numerator: int, denominator: int) -> tuple[Data
     rows = staged(rare.unionByName(often.join(several, "key").select("key", "id", "n", "one")))
     kept = rows.groupBy("id").agg(F.sum("one").alias("kept"), F.count("*").alias("degree"))
     marks = entries.where("kind = 2").groupBy("id").agg(F.max("n").alias("n"), F.min("rare").alias("rare"), F.max("key").alias("end"))
-    nodes = staged(kept.join(marks, "id").select("id", "n", (F.col("n") - F.col("rare") + F.col("kept")).alias("shared"), "end", "degree"))
-    return rows.select("key", "id"), nodes
+    nodes = kept.join(marks, "id").select("id", "n", (F.col("n") - F.col("rare") + F.col("kept")).alias("shared"), "end", "degree")
+    # Of two documents that link, the one whose prefix ends first has at least its share in common. So a bucket needs one that can,
+    # and others in it have to end after the first such one.
+    nodes = staged(nodes.withColumn("can", denominator * F.col("shared") >= numerator * F.col("n")))
+    thin = staged(rows.join(nodes.select("id", "can", "end", "degree"), "id").select("key", "id", "can", "end", "degree"))
+    first = F.min(F.when(F.col("can"), F.col("end"))).alias("first")
+    best = thin.groupBy("key").agg(first, F.max(F.struct("degree", "id")).getField("id").alias("pivot"), F.count("*").alias("size")).where("first is not null and size > 1")
+    return staged(thin.join(best, "key").where(F.col("can") | (F.col("end") >= F.col("first"))).select(F.col("pivot").alias("key"), "id").distinct()), nodes
 
 
 def _linked(pairs: DataFrame, held: DataFrame, marks: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
@@ -235,7 +241,7 @@ def _set_of(blob: bytes, span: int) -> np.ndarray:
 
 
 def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all links."""
+    """id, component: the components that all links make, for every document that has one."""
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
@@ -249,38 +255,41 @@ def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFram
         found = own.join(p, (own["key"] == p["key"]) & (F.col("p_id") != F.col("id")) & (F.col("p_c") != F.col("c")) & (denominator * least >= numerator * (F.col("n") + F.col("p_n") - least)) & among)
         return found.select(F.col("p_id").alias("a"), F.col("id").alias("b")).distinct()
 
-    ids = nodes.select(F.col("id").alias("doc_id"))
+    ids = staged(buckets.select(F.col("id").alias("doc_id")).distinct())
     marks = staged(rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "parity").dropDuplicates(["id"]))
     level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
     members = staged(buckets.join(nodes, "id").select("key", "id", "n", "shared", "end", "degree", level.alias("level")))
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    # A shuffled join whatever the sizes, so that small inputs show what large ones cost.
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
     held = staged(texts.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
     release(docs.sparkSession)
-    links, step = None, 0
+    whole, step = None, 0
     own = members.withColumn("c", F.col("id"))
     while True:
         best = F.struct("degree", "id", "n", "shared", "end", "c")
         mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max("level").alias("top"), F.max(best).alias("best")).where("lo < hi")
         if step == 0:
             new = pairs(own, mixed.select("key", "best.id", "best.n", "best.shared", "best.end", "best.c"), F.lit(True))
-            # Buckets with one pivot become one group, so that two documents meet once and not for each key that they share.
-            members = staged(members.join(mixed.select("key", F.col("best.id").alias("pivot")), "key").select(F.col("pivot").alias("key"), *members.columns[1:]).distinct())
-            own = members.withColumn("c", F.col("id"))
         else:
             # below `late` levels from its bucket's top a member was a pivot before; `late` grows, so the pivots of a bucket multiply
             late, next_ = LEVELS * (step - 1), LEVELS * step
             mixed = mixed.where((F.col("size") > 2) & ((F.lit(step) == 1) | (F.col("size") > SMALL_BUCKET) & (F.col("top") >= late)))
             open_ = staged(own.join(mixed.select("key", (F.col("size") <= SMALL_BUCKET).alias("small"), "top"), "key").withColumn("depth", F.when(F.col("small"), 0).otherwise(F.col("top") - F.col("level"))).where(F.col("depth") >= late))
             if open_.isEmpty():
-                return links
+                return whole
             new = pairs(open_, open_.where(F.col("small") | (F.col("depth") < next_)), (F.col("depth") >= next_) | (F.col("p_id") < F.col("id")))
         fresh = _linked(new, held, marks, span, numerator, denominator)
         step += 1
-        if links is not None and fresh.isEmpty():
+        if whole is not None and fresh.isEmpty():
             continue
-        links = fresh if links is None else staged(links.unionByName(fresh))
-        whole = components(links).select("id", F.col("component").alias("w"))
-        own = staged(members.join(whole, "id", "left").select("key", "id", "n", "shared", "end", "degree", "level", F.coalesce("w", "id").alias("c")))
+        if whole is None:
+            whole = staged(components(fresh))
+        else:  # new links join components that are there already
+            x, y = whole.select(F.col("id").alias("a"), F.col("component").alias("x")), whole.select(F.col("id").alias("b"), F.col("component").alias("y"))
+            moved = components(fresh.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+            known = whole.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(whole, "id", "left_anti").select("id", F.col("id").alias("component")))
+            whole = staged(known.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        own = staged(members.join(whole.select("id", F.col("component").alias("w")), "id", "left").select("key", "id", "n", "shared", "end", "degree", "level", F.coalesce("w", "id").alias("c")))
 
 
 def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -292,13 +301,14 @@ def jaccard_components(docs: DataFrame, span: int = SPAN, numerator: int = NUMER
     entries = staged(_entries(docs, span, _frequent(slices, tokens), numerator, denominator))
     buckets, nodes = _buckets(entries, numerator, denominator)
     release(docs.sparkSession)
-    links = _links(docs, rows, buckets, nodes, span, numerator, denominator)
+    linked = _links(docs, rows, buckets, nodes, span, numerator, denominator)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = staged(rows.drop("parity").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    of = own.select(F.col("doc_id").alias("id"), "rep")
-    edges = links.join(of.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    whole = components(edges).select(F.col("id").alias("rep"), "component")
-    return own.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    # Indexed documents of one class are in one component, as they link with each other.
+    of = linked.join(own.select(F.col("doc_id").alias("id"), "rep"), "id")
+    least = of.groupBy("component").agg(F.min("rep").alias("least"))
+    whole = of.select("rep", "component").distinct().join(least, "component").groupBy("rep").agg(F.min("least").alias("least"))
+    return own.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
 
 
 def representatives(docs: DataFrame, span: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
