@@ -111,13 +111,14 @@ class Encoder:
         if not self.lower:
             words = [self.pieces(t) for t in texts]
             return [self.whole(t).tobytes() if w is None else b"".join(map(self._ids.__getitem__, w)) for t, w in zip(texts, words)]
-        if len(self._chunks) > CACHE:
-            self._chunks.clear()
-        known = self._chunks
         if unsure is None:
             unsure = {k for k, t in enumerate(texts) if self.unsure(t)}
         chunks = [None if k in unsure else t.lower().split() for k, t in enumerate(texts)]
-        self._learn([c for c in set().union(*filter(None, chunks)) if c not in known])
+        present = set().union(*filter(None, chunks))
+        if len(self._chunks) > CACHE:  # what these texts hold stays, so the most frequent do
+            self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
+        known = self._chunks
+        self._learn([c for c in present if c not in known])
         return [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
 
     def _learn(self, chunks: list[str]) -> None:

@@ -56,9 +56,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
     def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             ids = b.column("ids")
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).view("<u4")
             n = np.diff(at)
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:])]
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
             yield pa.record_batch([b.column("doc_id"), b.column("part"), b.column("place"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
     spark = files.sparkSession
