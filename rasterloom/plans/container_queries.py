@@ -119,9 +119,10 @@ def _files(spark, sf, **options) -> DataFrame:
     return I.encode(I.gathered(px(spark, sf), W, H), **options)
 
 
-@query("riff_chunks_udtf")
+@query("riff_chunks_udtf", "SELECT vec_id AS img, CAST(0 AS BIGINT) AS idx, 'VP8L' AS name, true AS framed FROM embeddings")
 def _(spark, sf):
-    return I.chunks(_files(spark, sf).select("img", "content")).select("img", "idx", "name", "size")
+    rows = I.chunks(_files(spark, sf).withColumn("whole", F.octet_length("content")).select("img", "whole", "content"))
+    return rows.select("img", "idx", "name", (F.col("whole") == 12 + Y.chunk_size(F.col("size"))).alias("framed"))
 
 
 @query("decode_config", f"WITH {PLANES} SELECT DISTINCT img, 'VP8L' AS codec, {out(width='8', height='8')}, true AS alpha FROM pl")

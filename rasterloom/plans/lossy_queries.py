@@ -394,7 +394,7 @@ def _(spark, sf):
     return planes(spark, sf).select("img", "i", (one(1) + one(W)).alias("ctx"))
 
 
-@query("zigzag_order", f"WITH {BLOCKS} SELECT {BLOCK}, [{', '.join(f'CAST(c{k} AS BIGINT)' for k in B.ZIGZAG)}] AS scan, list_has_any([true], [{', '.join(f'abs(c{k}) > 60' for k in B.ZIGZAG[1:])}]) AS any_ac FROM bl")
+@query("zigzag_order", f"WITH {BLOCKS} SELECT {BLOCK}, array_to_string([{', '.join(f'CAST(c{k} AS BIGINT)' for k in B.ZIGZAG)}], ',') AS scan, list_has_any([true], [{', '.join(f'abs(c{k}) > 60' for k in B.ZIGZAG[1:])}]) AS any_ac FROM bl")
 def _(spark, sf):
     scan = F.array(*[F.col(f"c{k}").cast("long") for k in B.ZIGZAG])
-    return blocks(spark, sf).select(*KEEP, scan.alias("scan"), F.exists(F.slice(scan, 2, 15), lambda c: F.abs(c) > 60).alias("any_ac"))
+    return blocks(spark, sf).select(*KEEP, F.array_join(scan.cast("array<string>"), ",").alias("scan"), F.exists(F.slice(scan, 2, 15), lambda c: F.abs(c) > 60).alias("any_ac"))
