@@ -208,9 +208,15 @@ def _buckets(entries: DataFrame, numerator: int, denominator: int) -> tuple[Data
     return staged(thin.join(best, "key").where(F.col("can") | (F.col("end") >= F.col("first"))).select(F.col("pivot").alias("key"), "id").distinct()), nodes
 
 
-def _linked(pairs: DataFrame, held: DataFrame, marks: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, marks: DataFrame, span: int, numerator: int, denominator: int, many: bool) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; written. Parities (marks) first rule out most that don't; for the others
-    compressed texts travel, as they are a third of their sets' size."""
+    texts are fetched and travel compressed, as that is a third of their sets' size. many: whether the pairs grow with the corpus;
+    their texts are then fetched by a shuffled join whatever the sizes, so that small inputs show what large ones cost."""
+
+    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            data, at = utf8(b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), pa.array([zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "blob"])
 
     def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
@@ -231,6 +237,12 @@ def _linked(pairs: DataFrame, held: DataFrame, marks: DataFrame, span: int, nume
 
     x, y = marks.select(F.col("id").alias("a"), F.col("parity").alias("x"), F.col("n").alias("m")), marks.select(F.col("id").alias("b"), F.col("parity").alias("y"), "n")
     pairs = staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "m", "n").mapInArrow(near, "a long, b long"))
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(ids.hint("merge") if many else ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    held = staged(texts.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
+    release(docs.sparkSession)
     x, y = held.select(F.col("id").alias("a"), F.col("blob").alias("x")), held.select(F.col("id").alias("b"), F.col("blob").alias("y"))
     return staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
 
@@ -243,11 +255,6 @@ def _set_of(blob: bytes, span: int) -> np.ndarray:
 def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFrame, span: int, numerator: int, denominator: int) -> DataFrame:
     """id, component: the components that all links make, for every document that has one."""
 
-    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
-            data, at = utf8(b.column("text"))
-            yield pa.record_batch([b.column("doc_id"), pa.array([zlib.compress(data[i:j].tobytes(), 1) for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "blob"])
-
     def pairs(own: DataFrame, pivots: DataFrame, among: F.Column) -> DataFrame:
         """Distinct pairs of a pivot and a member of its bucket, in another component, that have enough in common as far as is known."""
         p = pivots.select("key", *[F.col(c).alias("p_" + c) for c in pivots.columns if c != "key"])
@@ -259,10 +266,6 @@ def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFram
     marks = staged(rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "parity").dropDuplicates(["id"]))
     level = F.when(F.xxhash64(F.lit(3), "id") == 0, 63).otherwise(F.length(F.regexp_extract(F.bin(F.xxhash64(F.lit(3), "id")), "0*$", 0)))
     members = staged(buckets.join(nodes, "id").select("key", "id", "n", "shared", "end", "degree", level.alias("level")))
-    # A shuffled join whatever the sizes, so that small inputs show what large ones cost.
-    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    held = staged(texts.mapInArrow(packed, "id long, blob binary"), codec="uncompressed")
-    release(docs.sparkSession)
     whole, step = None, 0
     own = members.withColumn("c", F.col("id"))
     while True:
@@ -278,7 +281,7 @@ def _links(docs: DataFrame, rows: DataFrame, buckets: DataFrame, nodes: DataFram
             if open_.isEmpty():
                 return whole
             new = pairs(open_, open_.where(F.col("small") | (F.col("depth") < next_)), (F.col("depth") >= next_) | (F.col("p_id") < F.col("id")))
-        fresh = _linked(new, held, marks, span, numerator, denominator)
+        fresh = _linked(new, docs, marks, span, numerator, denominator, many=step == 0)
         step += 1
         if whole is not None and fresh.isEmpty():
             continue
