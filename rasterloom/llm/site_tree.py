@@ -3,9 +3,9 @@
 Pages of one host are merged: elements with the same path of (tag, class) are one node of the host's tree. Over its occurrences a node
 has presentations (the sequence of its children) and contents (the text below it), and for each an entropy, divided by the largest that so
 many occurrences can have. A node's importance mixes the two; branches that a host repeats nearly unchanged have little of it and
-are cut from every page. Two things entropy cannot see are decided by what the markup says: scripts, forms, navigation, adverts,
+are cut from every page, whether the page has an article or not. Two things entropy cannot see are decided by what the markup says: scripts, forms, navigation, adverts,
 comments and the like are cut by tag, role and class even where they differ on every page, and a host with fewer than LEAST
-occurrences of a node gives no verdict on it. Article and main elements are never cut themselves.
+occurrences of a node gives no verdict on it. Article and main elements are never cut by importance, nor with a branch above them that is.
 
 Counting is two aggregations by (host, node, feature) and (host, node) with partial sums, so one host may hold any share of the pages. Only cut
 nodes are joined back, from a written table; Spark broadcasts it below its own threshold and else shuffles. Null and empty html give an
@@ -36,6 +36,7 @@ CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice gdpr "
     "newsletter subscribe subscription signup login popup modal overlay comment comments commentlist disqus reply replies share sharing social related recommended recommendations widget pagination pager toolbar search form".split()
 )
+UNSEEN = RAW | frozenset("head noscript template select iframe object svg canvas audio video map".split())  # holds no text of the page, whatever is in it
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -48,6 +49,9 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']
 PART = re.compile(r"[^a-z0-9]+")
 
 
+SHOWN, LOW, HIDDEN, GONE = range(4)  # of a walked element: text stays, is cut by importance, is cut by noise above, is never shown
+
+
 class Node:
     __slots__ = ("attributes", "children", "key", "tag")
 
@@ -135,48 +139,61 @@ def keyed(root: Node) -> list[Node]:
     return out
 
 
-def blocks(root: Node, cut: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks that stay, white space folded, in page order. cut: keys of branches to leave out."""
-    nodes = keyed(root)
-    tops = [n for n in nodes if n.tag in ("article", "main") and not noise(n)]
-    inner = {id(d) for t in tops for d in keyed_below(t)}
-    tops = [t for t in tops if id(t) not in inner] or [root]
-    out, now = [], []
+def walk(root: Node, cut: frozenset[int], kept: frozenset[int]) -> tuple[list[str], dict[int, bool]]:
+    """Blocks that stay, and of the outermost article and main elements the id and whether noise above hides it. kept: ids that noise does not hide."""
+    out, now, tops = [], [], {}
 
     def close() -> None:
         if line := " ".join("".join(now).split()):
             out.append(line)
         now.clear()
 
-    for top in tops:
-        todo: list = [top]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                close()
-            elif isinstance(x, str):
+    todo: list = [(root, SHOWN, False)]  # what, whether it shows, whether an article or main is above
+    while todo:
+        x, state, inner = todo.pop()
+        if x is None:
+            close()
+            continue
+        if isinstance(x, str):
+            if state == SHOWN:
                 now.append(x)
-            elif x is not top and (noise(x) or x.key in cut and x.tag not in ("article", "main")) or (x.tag == "header" and top is root):
-                if x.tag in BLOCK:
-                    close()
-            elif x.tag == "br":
-                now.append(" ")
-            else:
-                block = x.tag in BLOCK
-                if block:
-                    close()
-                    todo.append(None)
-                todo += reversed(x.children)
-        close()
-    return out
+            continue
+        if x.tag in ("article", "main"):
+            if not inner:
+                tops[id(x)] = state == HIDDEN
+            if state == LOW or state == HIDDEN and (id(x) in kept or x.tag == "main" and not inner):
+                state = SHOWN
+            inner = True
+        elif x.tag in UNSEEN:
+            state = GONE
+        elif x is not root and (noise(x) or x.tag == "header" and not inner):
+            state = max(state, HIDDEN)
+        elif x is not root and x.key in cut:
+            state = max(state, LOW)
+        if x.tag == "br" and state == SHOWN:
+            now.append(" ")
+        if x.tag in BLOCK:
+            close()
+            todo.append((None, state, inner))
+        if state != GONE:
+            todo += [(c, state, inner) for c in reversed(x.children) if state == SHOWN or isinstance(c, Node)]
+    close()
+    return out, tops
 
 
-def keyed_below(top: Node) -> Iterator[Node]:
-    todo = [c for c in top.children if isinstance(c, Node)]
-    while todo:
-        n = todo.pop()
-        yield n
-        todo += [c for c in n.children if isinstance(c, Node)]
+def blocks(root: Node, cut: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks that stay, white space folded, in page order. cut: keys of branches to leave out.
+
+    A branch that is cut is left out but for the article and main elements in it. One that noise hides is left out whole, but for a main
+    and for what may be the page itself (an element around all of it, or one never closed): hidden articles that are all the page has, or one longer than the rest.
+    """
+    keyed(root)
+    out, tops = walk(root, cut, frozenset())
+    if tops and all(tops.values()) and (len(tops) == 1 or not out):
+        more, _ = walk(root, cut, frozenset(tops))
+        if sum(map(len, more)) > 2 * sum(map(len, out)):
+            return more
+    return out
 
 
 def host_of(url: str | None) -> str:

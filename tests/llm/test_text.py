@@ -107,6 +107,31 @@ def test_repeated_branches_are_cut(spark, no_docs):
     assert site_tree.extracted(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>Lead</p><article>Body</article><p>End</p>", ["Lead", "Body", "End"]),  # an article does not stand for its page
+        ("<aside><article>Card</article></aside><div class=related><article>Card</article></div><article>Body</article>", ["Body"]),
+        ("<div class=comments><article>Reader</article><article>Another</article></div><p>Body</p>", ["Body"]),
+        ("<template><article>no</article></template><header>Site</header><main><header>Head</header>Body</main>", ["Head", "Body"]),
+        ("<form id=page><div>menu</div><main>Body</main></form>", ["Body"]),
+        ("<p>Skip</p><div class='has-sidebar'><article>A longer body of it</article></div>", ["Skip", "A longer body of it"]),
+        ("<nav><ul><li>never closed<article>Body</article>", ["Body"]),
+        ("<main>One<article>Two</article><aside><article>no</article></aside></main>", ["One", "Two"]),
+    ],
+)
+def test_blocks_around_articles(html, want):
+    assert site_tree.blocks(site_tree.parse(html)) == want
+
+
+def test_the_tree_decides_outside_articles(spark):
+    """Repeated branches go and own ones stay beside an article; a branch that is low as a whole keeps its article."""
+    html = "<div class=legal><p>All the same words</p></div><div class=lead><p>Lead {0}</p></div><article><p>Body {0}</p></article><div class=wrap>Same<article>Same</article></div>"
+    rows = [(k, f"http://h.example/{k}", html.format(k)) for k in range(40)]
+    got = site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 40 and all(r.text == f"Lead {r.page_id}\nBody {r.page_id}\nSame" for r in got)
+
+
 def test_pages_are_the_article(spark, sf):
     """The pages of the test data hold one article each; a plain reading of it gives the same text."""
     import html
