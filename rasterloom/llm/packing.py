@@ -49,7 +49,7 @@ def best_fit(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, i
     """Rows (length, first rank, count, first sequence, offset): ranks from 0 within the length, each to a sequence of its own.
 
     Best-fit decreasing: a piece goes to the fullest sequence that still holds it, else to a new one. Sequences with the same free
-    space are taken a run at a time, so each step handles as many pieces as the run is long.
+    space are taken a run at a time, each filled before the next, so each step handles as many pieces as the run holds.
     """
     free: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free space -> runs (first sequence, count)
     spaces: list[int] = []  # sorted keys of free
@@ -88,12 +88,23 @@ def best_fit(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, i
             if not free[space]:
                 del free[space]
                 spaces.pop(k)
-            n = min(count, left)
-            plan.append((length, rank, n, first, width - space))
-            if n < count:
-                put(space, first + n, count - n)
-            put(space - length, first, n)
-            rank, left = rank + n, left - n
+            # As best fit would, a sequence just taken is the fullest that fits until it is filled: `full` of them, then one with the rest.
+            each = space // length
+            full = min(count, left // each)
+            rest = left % each if full < count else 0
+            for i in range(each):
+                n = full + (i < rest)
+                if n:
+                    plan.append((length, rank, n, first, width - space + i * length))
+                    rank += n
+            used = full + (rest > 0)
+            if used < count:
+                put(space, first + used, count - used)
+            if full:
+                put(space - each * length, first, full)
+            if rest:
+                put(space - rest * length, first + full, 1)
+            left -= full * each + rest
     return plan
 
 

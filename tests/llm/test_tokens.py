@@ -129,6 +129,13 @@ def test_best_fit_is_what_one_by_one_gives(histogram):
     assert len(by) == len(space)
 
 
+def test_a_sequence_is_filled_before_the_next_of_its_run():
+    """Few lengths that dominate: one piece for each sequence of a run would fragment their space."""
+    for histogram, width, want in [({2458: 14, 819: 14, 532: 21}, 4096, 14), ({4: 13, 11: 1, 36: 31, 40: 30, 7: 38, 8: 40}, 50, 61)]:
+        plan = packing.best_fit(histogram, width)
+        assert len({s + i for _, _, n, s, _ in plan for i in range(n)}) == want
+
+
 def test_plan_grows_with_lengths_not_texts():
     rng = random.Random(2)
     small = {n: rng.randrange(1, 50) for n in range(1, 2000)}
