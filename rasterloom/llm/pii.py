@@ -27,10 +27,12 @@ TRIES = 4  # candidates an entity draws at once
 
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Mme|Madame|Госпожа|г-жа|Κυρία"
 TITLES_M = "Mr|Herr|Señor|Sr|Monsieur|Господин|г-н|Κύριος"
+#: Beginnings of keys that tell their type.
+PREFIX = r"(?:sk|pk|ghp|gho|xox[abp]|AKIA)[\-_]?"
 KINDS = {
     "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"\b(?:sk|pk|ghp|gho|xox[abp]|AKIA)[\-_]?[A-Za-z0-9_\-]{16,}\b|\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}\b",
+    "secret": rf"\b{PREFIX}[A-Za-z0-9_\-]{{16,}}\b|" r"\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9])",
@@ -39,7 +41,7 @@ KINDS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Nothing in ENTITY matches without one of these; most texts are settled by this cheap test.
-HINT = rf"[0-9@]|\b(?:{TITLES_F}|{TITLES_M})\b"
+HINT = rf"[0-9@]|\b(?:{TITLES_F}|{TITLES_M})\b|\b{PREFIX}[A-Za-z0-9_\-]{{16}}"
 
 
 def entities(text: Column) -> Column:
