@@ -5,7 +5,7 @@ numbers, secrets (long hexadecimal or key-like strings) and names after a title.
 surrogate, so mentions of one entity stay one (coreference) and different entities stay different (distinctness).
 
 A surrogate is drawn from SHA-256 of (key, kind, attempt, entity): letters become letters of the same script and case, digits digits,
-punctuation stays; country codes and domains' endings stay; cards that hold the Luhn test still do; address octets stay below 255; a name keeps
+punctuation stays; country codes, domains' endings and the prefixes of keys stay (only hexadecimal strings are drawn from a to f); cards that hold the Luhn test still do; address octets stay below 255; a name keeps
 its title and gets a given name of the title's gender, in its script. Collision check: candidates that are an entity of the corpus are
 dropped, and of the entities that drew one candidate the first in (attempt, entity) order has it; an entity left without draws again.
 
@@ -126,7 +126,9 @@ def candidate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The attempt-th surrogate of an entity: a function of key, kind, attempt and entity alone."""
     seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value)
     digits = F.regexp_replace(value, "[^0-9]", "")
-    plain = _redrawn(value, seed, F.lit(0), kind == "secret")
+    typed = F.when(kind == "secret", F.length(F.regexp_extract(value, rf"^{PREFIX}(?:(?:live|test|proj)[\-_])?", 0))).otherwise(0)
+    plain = _redrawn(value, seed, typed, (kind == "secret") & (typed == 0))
+    plain = F.when(value.startswith("AKIA"), F.translate(plain, "0189", "2345")).otherwise(plain)  # such keys are base 32
     ending = F.regexp_extract(value, r"\.\p{L}{2,}$", 0)
     head = F.substring(value, F.lit(1), F.length(value) - F.length(ending))
     email = F.concat(_redrawn(head, seed, F.lit(0), F.lit(False)), ending)
