@@ -9,6 +9,7 @@ token contexts, both loop filters. The encoder writes 16x16 modes, one segment,
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +42,23 @@ class Tables:
             own = json.load(f)
         return cls(*(np.array(own[k]).reshape(s) for k, s in (("coefficients", (4, 8, 3, 11)), ("updates", (4, 8, 3, 11)), ("modes", (10, 10, 9)))))
 
+    @classmethod
+    def of_specification(cls, text: str) -> Tables:
+        """From the text of the format's published specification (RFC 6386), whose C listings hold the tables by these names."""
+        text = re.sub(r"/\*.*?\*/", " ", re.sub(r"(?m)^(?:RFC \d+ .*|.*\[Page \d+\]\s*)$", "", text), flags=re.S)
+        found = []
+        for name, shape in (("default_coeff_probs", (4, 8, 3, 11)), ("coeff_update_probs", (4, 8, 3, 11)), ("kf_bmode_probs?", (10, 10, 9))):
+            m = re.search(name + r"\s*(?:\[[^\]]*\]\s*)+=\s*(\{[^;]*\})\s*;", text)
+            numbers = re.findall(r"\d+", m[1]) if m else []
+            if len(numbers) != np.prod(shape):
+                raise ValueError(f"the text has no table {name} of {np.prod(shape)} numbers")
+            found.append(np.array(numbers, int).reshape(shape))
+        return cls(*found)
+
+    def save(self, path: str) -> None:
+        with open(path, "w") as f:
+            json.dump({"coefficients": self.coefficients.tolist(), "updates": self.updates.tolist(), "modes": self.modes.tolist()}, f)
+
 
 class BoolWriter:
     """Arithmetic coder of booleans whose probability of False is prob / 256."""

@@ -153,6 +153,11 @@ def read_bits_low_first(bits: Column, at: Column, n: int) -> Column:
     return F.conv(F.reverse(F.substring(bits, at + 1, F.lit(n))), 2, 10).cast("long")
 
 
+def aligned(at: Column) -> Column:
+    """The place of the next byte's first bit, or at itself where it is one."""
+    return F.floor((at + 7) / 8) * 8
+
+
 def write_bits(value: Column, n: int) -> Column:
     return F.lpad(F.bin(value), n, "0")
 

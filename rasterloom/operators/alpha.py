@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..codecs import alpha as codec
 from ..functions.pixels import byte, gradient, quantize_level
 
 FILTERS = ("none", "horizontal", "vertical", "gradient")
@@ -27,8 +32,8 @@ def apply_filter(plane: DataFrame, width: int, kind: str) -> DataFrame:
 
 
 def reverse_filter(plane: DataFrame, width: int, kind: str) -> DataFrame:
-    """The inverse. Horizontal and vertical are prefix sums modulo 256; gradient depends on its own clamped output, so it is a
-    fold over the image's values in order, in one aggregate expression."""
+    """The inverse. Horizontal and vertical are prefix sums modulo 256; gradient depends on its own clamped output, so each plane goes
+    through the codec, in Arrow batches."""
     if kind == "none":
         return plane
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
@@ -39,17 +44,22 @@ def reverse_filter(plane: DataFrame, width: int, kind: str) -> DataFrame:
         line = up_to(Window.partitionBy("img", along).orderBy(across))
         inside = plane.withColumn("rest", F.sum(F.when(F.col(across) == 0, 0).otherwise(F.col("v"))).over(line))
         return inside.join(edge, ["img", along]).withColumn("v", byte(F.col("first") + F.col("rest")).cast("int")).select(*plane.columns)
-    rows = plane.groupBy("img").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vs"))  # one image's values
-    step = lambda out, k: F.concat(out, F.array(_gradient_value(out, k, width)))
-    folded = rows.select("img", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.size("vs")), F.array().cast("array<int>"), step)).alias("i", "w"))
-    return plane.join(folded.withColumn("i", F.col("i").cast(plane.schema["i"].dataType)), ["img", "i"]).withColumn("v", F.col("w")).select(*plane.columns)
-
-
-def _gradient_value(out, k, width):
-    at = lambda n: F.element_at(out, F.greatest(k - n, F.lit(1)))
-    x, y = (k - 1) % width, F.floor((k - 1) / width)
-    guess = F.when((x == 0) & (y == 0), 0).when(y == 0, at(1)).when(x == 0, at(width)).otherwise(gradient(at(1), at(width), at(width + 1)))
-    return byte(F.element_at(F.col("vs"), k)["v"] + guess).cast("int")
+    others = [c for c in plane.columns if c not in ("img", "v")]
+    rows = plane.groupBy("img").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("int").alias("v"), *[c for c in others if c != "i"]))).alias("cells"))  # one image's values
+    rows = rows.select("img", "cells", F.transform("cells", lambda c: c["v"]).alias("vs"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vs = b.column("vs")
+            at, flat = vs.offsets.to_numpy(), vs.values.to_numpy(zero_copy_only=False)
+            done = [codec.reverse_filter(flat[i:j].reshape(-1, width).astype(np.uint8), codec.GRADIENT).ravel() for i, j in zip(at[:-1], at[1:])]
+            new = pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(np.concatenate([np.zeros(0, np.int32), *done]).astype(np.int32)))
+            yield pa.record_batch([b.column("img"), b.column("cells"), new], ["img", "cells", "vs"])
+
+    cells = rows.mapInArrow(run, kinds).select("img", F.explode(F.arrays_zip("cells", "vs")).alias("c"))
+    kind = plane.schema["v"].dataType
+    return cells.select("img", F.col("c.vs").cast(kind).alias("v"), *[F.col(f"c.cells.{c}").alias(c) for c in others]).select(*plane.columns)
 
 
 def quantize(plane: DataFrame, levels: int) -> DataFrame:

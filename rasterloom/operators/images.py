@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..codecs import image
 from ..codecs.lossy import Tables
 
-#: Pictures in one Arrow batch; a decoded picture is one row.
-BATCH = 32
+#: Pictures in one Arrow batch; a decoded picture is one row. Pixels in one batch of a pixel relation.
+BATCH, PIXELS = 32, 1 << 18
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -75,9 +75,20 @@ def gathered(px: DataFrame, width: int, height: int) -> DataFrame:
 
 def exploded(pictures: DataFrame) -> DataFrame:
     """The pixel relation of decoded pictures (img, width, height, rgba)."""
-    rows = pictures.select("img", "width", "rgba", F.explode(F.sequence(F.lit(0), (F.octet_length("rgba") / 4 - 1).cast("int"))).alias("i"))
-    at = lambda k: F.conv(F.hex(F.substring("rgba", F.col("i") * 4 + k + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.select("img", "i", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), at(3).alias("a"), at(0).alias("r"), at(1).alias("g"), at(2).alias("b"))
+    kind = pictures.schema["img"].dataType.simpleString()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for k, (width, data) in enumerate(zip(b.column("width").to_pylist(), b.column("rgba").to_pylist())):
+                p = np.frombuffer(data or b"", np.uint8).reshape(-1, 4).astype(np.int32)
+                img = b.column("img").slice(k, 1)
+                for low in range(0, len(p), PIXELS):
+                    part = p[low : low + PIXELS]
+                    i = np.arange(low, low + len(part), dtype=np.int32)
+                    own = img.take(pa.array(np.zeros(len(part), np.int32)))
+                    yield pa.record_batch([own, *(pa.array(np.ascontiguousarray(c)) for c in (i, i % width, i // width, part[:, 3], part[:, 0], part[:, 1], part[:, 2]))], ["img", *"ixyargb"])
+
+    return small_batches(pictures).select("img", "width", "rgba").mapInArrow(run, f"img {kind}, i int, x int, y int, a int, r int, g int, b int")
 
 
 def chunks(files: DataFrame, column: str = "content") -> DataFrame:

@@ -181,6 +181,42 @@ def prefix_bases(codes: int) -> list[tuple[int, int]]:
     return out
 
 
+def lz77_hash(argb: Column) -> Column:
+    """The 18-bit slot of a pixel among the places that a match may begin at."""
+    return P.cache_slot(argb, 18)
+
+
+def distance_value(distance: Column, width: Column) -> Column:
+    """The value that a distance in pixels is coded by: the first of the near places that it is, else 120 more."""
+    from ..codecs.lossless import NEAR  # which takes prefix_bases from here
+
+    places = [F.greatest(F.lit(1), (n >> 4) * width + 8 - (n & 15)).cast("long") for n in NEAR]
+    at = F.array_position(F.array(*places), F.greatest(distance, F.lit(1)).cast("long"))
+    return F.when(distance <= 0, 1).when(at > 0, at).otherwise(distance + 120)
+
+
+def distance_histogram(references: DataFrame) -> DataFrame:
+    """img, code, n: how often each distance code stands in an image's back references (img, distance, width); code 0 counts once at least."""
+    rows = prefix_codes(references.select("img", distance_value(F.col("distance"), F.col("width")).alias("value")), "value", 40).select("img", "code", F.lit(1).alias("one"))
+    least = references.select("img").distinct().select("img", F.lit(0).alias("code"), F.lit(0).alias("one"))
+    counts = rows.unionByName(least).groupBy("img", "code").agg(F.sum("one").alias("n"))
+    return counts.select("img", "code", F.when(F.col("code") == 0, F.greatest("n", F.lit(1))).otherwise(F.col("n")).alias("n"))
+
+
+def stream_fits(width: Column, height: Column) -> Column:
+    """Whether an image has such sizes at all: positive, and a number of pixels below 2**63."""
+    return (width > 0) & (height > 0) & (width <= F.lit((1 << 63) - 1) / F.greatest(height, F.lit(1)))
+
+
+def header_fits(width: Column, height: Column) -> Column:
+    """Whether a stream's header can have such sizes."""
+    return stream_fits(width, height) & (width <= 1 << 14) & (height <= 1 << 14)
+
+
+def cache_fits(bits: Column) -> Column:
+    return bits.between(1, 11)
+
+
 def prefix_codes(values: DataFrame, column: str, codes: int, first: int = 0) -> DataFrame:
     """Adds code, extra_bits, extra: the code with the greatest base that is not above the value. The bases are literals, so nothing is joined."""
     bases = prefix_bases(codes)

@@ -95,6 +95,11 @@ def best_mode(rows: DataFrame, key: list[str], n: int) -> DataFrame:
     return sums.select(*key, (F.array_position(F.array(*[F.coalesce(f"s{k}", F.lit(1 << 60)) for k in range(4)]), least) - 1).cast("int").alias("mode"), least.alias("sad"))
 
 
+def line_predictions(rows: DataFrame) -> DataFrame:
+    """Adds vertical and horizontal: what a block's pixels are by the border's value of their column, or of their row."""
+    return rows.withColumns({"vertical": F.col("above"), "horizontal": F.col("left")})
+
+
 def filter_limits(level: Column, sharpness: Column, key_frame: Column) -> dict[str, Column]:
     """level, ilevel, hlevel of the loop filter from a macroblock's level (after deltas)."""
     level = F.least(level, F.lit(63))

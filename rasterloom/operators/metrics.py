@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["img", "i"]
@@ -19,6 +19,11 @@ def psnr(one: DataFrame, two: DataFrame, channels: str = "rgb") -> DataFrame:
     return sums.withColumn("psnr", F.when(F.col("mse") == 0, 999.0).otherwise(10 * F.log10(F.lit(255.0 * 255.0) / F.col("mse"))))
 
 
+def psnr_text(mse: Column) -> Column:
+    """As a line for people: equal images have no number."""
+    return F.when(mse == 0, "inf (lossless)").otherwise(F.format_string("%.2f dB", 10 * F.log10(F.lit(255.0 * 255.0) / mse)))
+
+
 def max_abs_error(one: DataFrame, two: DataFrame, channels: str = "rgb") -> DataFrame:
     return _pairs(one, two, channels).groupBy("img").agg(F.max(F.greatest(F.lit(0), *[F.abs(F.col("p" + c) - F.col("q" + c)) for c in channels])).alias("max_error"))
 

@@ -245,6 +245,88 @@ def _(spark, sf):
     return own.mapInArrow(run, "anim long, frame_no long, x long, y long, w long, h long, duration_ms long, dispose long, blend long, shade long")
 
 
+@query("bit_align", "SELECT p_partkey, " + out(at="(p_partkey % 25 + 7) // 8 * 8", n5="((p_partkey * 2654435 % 4294967296) >> ((p_partkey % 25 + 7) // 8 * 8)) % 256 // 8") + " FROM part")
+def _(spark, sf):
+    at = Y.aligned(F.col("p_partkey") % 25)
+    return read(spark, sf, "part").select("p_partkey", at.alias("at"), Y.read_bits(Y.bits_of(Y.number(F.col("p_partkey") * 2654435 % (1 << 32), 4)), at.cast("int"), 5).alias("n5"))
+
+
+def _each_picture(spark, sf, f, schema: str) -> DataFrame:
+    """Rows that f makes of (img, pixels as h x w x 4) of every picture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for k, rgba in zip(b.column("img").to_pylist(), b.column("rgba").to_pylist()) for r in f(k, np.frombuffer(rgba, np.uint8).reshape(H, W, 4))]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    arrow = pa.schema([(n, kinds[t]) for n, t in zip(names, types)])
+    return I.gathered(px(spark, sf), W, H).mapInArrow(run, schema)
+
+
+_KINDS = ("VP8L", "VP8", "VP8 with alpha", "VP8L with metadata", "animation")
+
+
+@query("decode_config_kinds", "SELECT vec_id AS img, kind, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, kind <> 'VP8' AS alpha FROM embeddings, (VALUES " + ", ".join(f"('{k}')" for k in _KINDS) + ") k(kind)")
+def _(spark, sf):
+    """What each kind of file says of its size and alpha without being decoded; every picture here has some translucent pixels."""
+
+    def made(k, p):
+        opaque = p | np.array([0, 0, 0, 255], np.uint8)
+        files = (image.encode(p), image.encode(opaque, True, 75.0), image.encode(p, True, 75.0), image.encode(p, metadata=riff.Metadata(None, b"x", None)), image.encode_animation(image.Animation(W, H, [image.Frame(p), image.Frame(opaque)])))
+        return [(k, kind, *image.config(f)) for kind, f in zip(_KINDS, files)]
+
+    return _each_picture(spark, sf, made, "img long, kind string, width long, height long, alpha boolean")
+
+
+@query("lossy_alpha_roundtrip")
+def _(spark, sf):
+    """Alpha of lossy pictures is exact: it goes by its own chunk in front of the image."""
+    return I.exploded(I.decode(_files(spark, sf, lossy=True, quality=50.0).select("img", "content"))).select("img", "i", "a")
+
+
+SQL["lossy_alpha_roundtrip"] = "WITH {px} SELECT img, CAST(i AS BIGINT) AS i, CAST(a AS BIGINT) AS a FROM px"
+
+
+@query("decode_with_metadata")
+def _(spark, sf):
+    """Pixels and metadata of one call, of lossless files with and without metadata."""
+
+    def made(k, p):
+        own = riff.Metadata(f"icc{k}".encode() if k % 2 == 0 else None, None, f"xmp{k}".encode()) if k % 3 else None
+        back, found = image.decode_with_metadata(image.encode(p, metadata=own))
+        return [(k, found is not None, found and found.icc and found.icc.decode(), found and found.xmp and found.xmp.decode(), int(back[..., 3].astype(int).sum()))]
+
+    return _each_picture(spark, sf, made, "img long, extended boolean, icc string, xmp string, alpha long")
+
+
+SQL["decode_with_metadata"] = "WITH {px} SELECT img, img % 3 <> 0 AS extended, CASE WHEN img % 3 <> 0 AND img % 2 = 0 THEN 'icc' || img END AS icc, CASE WHEN img % 3 <> 0 THEN 'xmp' || img END AS xmp, CAST(sum(a) AS BIGINT) AS alpha FROM px GROUP BY img"
+
+
+@query("frames_have_alpha", "SELECT vec_id AS img, vec_id % 2 = 0 AS alpha FROM embeddings")
+def _(spark, sf):
+    """The alpha flag of an animation whose second frame is translucent, or isn't."""
+
+    def made(k, p):
+        opaque = p | np.array([0, 0, 0, 255], np.uint8)
+        return [(k, image.encode_animation(image.Animation(W, H, [image.Frame(opaque), image.Frame(p if k % 2 == 0 else opaque)])))]
+
+    rows = _each_picture(spark, sf, made, "img long, content binary")
+    return rows.select("img", Y.has_flag(Y.parse_extended(F.substring("content", 21, 10))["flags"], "alpha").alias("alpha"))
+
+
+@query("size_by_quality", "SELECT vec_id AS img, true AS grows FROM embeddings")
+def _(spark, sf):
+    """Files of a picture don't shrink as the quality rises."""
+
+    def made(k, p):
+        sizes = [len(image.encode(p | np.array([0, 0, 0, 255], np.uint8), True, q)) for q in (25.0, 50.0, 75.0, 95.0)]
+        return [(k, sizes == sorted(sizes))]
+
+    return _each_picture(spark, sf, made, "img long, grows boolean")
+
+
 def _fill() -> None:
     from .fixtures import PX
 

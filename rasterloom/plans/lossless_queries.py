@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..codecs.lossless import NEAR
 from ..functions import pixels as P
 from ..operators import alpha as A
 from ..operators import lossless as L
@@ -277,7 +278,7 @@ _prefix("length_code_range_join", "p_partkey * 37 % 4096 + 1", 24, 256)
 _prefix("distance_code_range_join", "p_partkey * 7919 % 1048576 + 1", 40, 0)
 
 
-@query("distance_to_plane", f"WITH n AS (SELECT [{', '.join(map(str, L.NEAR))}] AS t) SELECT " + out(p_partkey="p_partkey", pixels="CASE WHEN c > 120 THEN c - 120 ELSE greatest(1, (t[least(c, 120)] >> 4) * w + 8 - (t[least(c, 120)] & 15)) END") + " FROM (SELECT p_partkey, p_partkey % 200 + 1 AS c, p_size * 4 AS w FROM part), n")
+@query("distance_to_plane", f"WITH n AS (SELECT [{', '.join(map(str, NEAR))}] AS t) SELECT " + out(p_partkey="p_partkey", pixels="CASE WHEN c > 120 THEN c - 120 ELSE greatest(1, (t[least(c, 120)] >> 4) * w + 8 - (t[least(c, 120)] & 15)) END") + " FROM (SELECT p_partkey, p_partkey % 200 + 1 AS c, p_size * 4 AS w FROM part), n")
 def _(spark, sf):
     return read(spark, sf, "part").select("p_partkey", L.plane_distance(F.col("p_partkey") % 200 + 1, F.col("p_size") * 4).alias("pixels"))
 
@@ -320,3 +321,42 @@ def _(spark, sf):
 def _(spark, sf):
     rows = px(spark, sf)
     return M.identical(rows, rows.withColumn("b", F.when(F.col("img") % 2 == 0, F.col("b")).otherwise(F.col("b").bitwiseAND(F.lit(240)))))
+
+
+@query("lz77_hash", f"WITH {PX} SELECT {KEYS}, {out(slot=f'(({_ARGB}) * 506832829) % 4294967296 // 16384')} FROM px")
+def _(spark, sf):
+    return px(spark, sf).select("img", "i", L.lz77_hash(P.pack(P.pixel())).alias("slot"))
+
+
+_NEAR = f"[{', '.join(map(str, NEAR))}]"
+_REFERENCES = f"re AS (SELECT l_orderkey AS img, l_linenumber AS n, l_partkey % 300 AS distance, l_orderkey % 40 + 1 AS width, list_position(list_transform({_NEAR}, lambda k: greatest(1, (k >> 4) * (l_orderkey % 40 + 1) + 8 - (k & 15))), greatest(1, l_partkey % 300)) AS place FROM lineitem), pd AS (SELECT img, n, distance, CASE WHEN distance <= 0 THEN 1 WHEN coalesce(place, 0) > 0 THEN place ELSE distance + 120 END AS value FROM re)"
+
+
+def _references(spark, sf):
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 300).alias("distance"), (F.col("l_orderkey") % 40 + 1).alias("width"))
+
+
+@query("distance_value", f"WITH {_REFERENCES} SELECT {out(img='img', n='n', value='value')} FROM pd")
+def _(spark, sf):
+    return _references(spark, sf).select("img", "n", L.distance_value(F.col("distance"), F.col("width")).alias("value"))
+
+
+_FIRSTS = f"[{', '.join(str(first) for first, _ in L.prefix_bases(40))}]"
+
+
+@query("distance_histogram", f"WITH {_REFERENCES}, co AS (SELECT img, len(list_filter({_FIRSTS}, lambda k: k <= value)) - 1 AS code, 1 AS one FROM pd UNION ALL SELECT DISTINCT img, 0, 0 FROM pd) SELECT {out(img='img', code='code', n='CASE WHEN code = 0 THEN greatest(1, sum(one)) ELSE sum(one) END')} FROM co GROUP BY img, code")
+def _(spark, sf):
+    return L.distance_histogram(_references(spark, sf))
+
+
+@query("lossless_limits", "SELECT p_partkey, w > 0 AND h > 0 AS stream, w > 0 AND h > 0 AND w <= 16384 AND h <= 16384 AS header, p_partkey % 14 BETWEEN 1 AND 11 AS cache FROM (SELECT p_partkey, p_partkey * 37 % 20000 - 100 AS w, p_partkey * 53 % 20000 - 100 AS h FROM part)")
+def _(spark, sf):
+    w, h = F.col("p_partkey") * 37 % 20000 - 100, F.col("p_partkey") * 53 % 20000 - 100
+    return read(spark, sf, "part").select("p_partkey", L.stream_fits(w, h).alias("stream"), L.header_fits(w, h).alias("header"), L.cache_fits(F.col("p_partkey") % 14).alias("cache"))
+
+
+@query("psnr_luma", f"WITH {PLANES} SELECT img, round(mse, 6) AS mse, CASE WHEN mse = 0 THEN 'inf (lossless)' ELSE printf('%.2f dB', 10 * log10(65025.0 / mse)) END AS said FROM (SELECT img, avg((v - w) * (v - w))::DOUBLE AS mse FROM (SELECT img, v, least(255, v + (img + i) % (img % 4 + 1)) AS w FROM pl) GROUP BY img)")
+def _(spark, sf):
+    one = planes(spark, sf)
+    two = one.withColumn("v", F.least(F.lit(255), F.col("v") + (F.col("img") + F.col("i")) % (F.col("img") % 4 + 1)))
+    return M.psnr(one, two, "v").select("img", F.round("mse", 6).alias("mse"), M.psnr_text(F.col("mse")).alias("said"))

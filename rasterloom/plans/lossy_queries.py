@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -215,9 +216,9 @@ def _(spark, sf):
     return Y.dequantized(blocks(spark, sf), KEEP, F.col("img") % 9 + 3, F.col("img") % 20 + 4)
 
 
-@query("quality_to_qp", "SELECT p_partkey, CAST(least(127, greatest(0, trunc((CAST(100 AS FLOAT) - least(CAST(100 AS FLOAT), greatest(CAST(0 AS FLOAT), CAST(p_partkey * 0.7 % 130 - 10 AS FLOAT)))) * CAST(127 AS FLOAT) / CAST(100 AS FLOAT)))) AS BIGINT) AS qp FROM part")
+@query("quality_to_qp", "SELECT p_partkey, CAST(least(127, greatest(0, trunc((CAST(100 AS FLOAT) - least(CAST(100 AS FLOAT), greatest(CAST(0 AS FLOAT), CAST((p_partkey * 7 % 1300 - 100) / 10 AS FLOAT)))) * CAST(127 AS FLOAT) / CAST(100 AS FLOAT)))) AS BIGINT) AS qp FROM part")
 def _(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", P.quality_to_qp(F.expr("p_partkey * 0.7D % 130 - 10")).alias("qp"))
+    return read(spark, sf, "part").select("p_partkey", P.quality_to_qp(F.expr("(p_partkey * 7 % 1300 - 100) / 10D")).alias("qp"))
 
 
 _DC, _AC = (f"[{', '.join(map(str, t))}]" for t in (B.DC_STEPS, B.AC_STEPS))
@@ -398,3 +399,24 @@ def _(spark, sf):
 def _(spark, sf):
     scan = F.array(*[F.col(f"c{k}").cast("long") for k in B.ZIGZAG])
     return blocks(spark, sf).select(*KEEP, F.array_join(scan.cast("array<string>"), ",").alias("scan"), F.exists(F.slice(scan, 2, 15), lambda c: F.abs(c) > 60).alias("any_ac"))
+
+
+# A 4x4 block: the upper left quarter of a picture, with the borders as above.
+_QUARTER = "bo AS (SELECT img, i, x, y, v, above, lef, corner, sum(above) OVER (PARTITION BY img, y) AS sa, sum(lef) OVER (PARTITION BY img, x) AS sl, va, vl FROM b0 WHERE x < 4 AND y < 4)"
+_DC4 = _DCP.format(n=4, n2=3, h=2, n1=2)
+
+
+def _quarter(spark, sf):
+    four = lambda side, along: F.sum(side).over(Window.partitionBy("img", along))
+    rows = _bordered(spark, sf).where("x < 4 AND y < 4")
+    return rows.withColumns({"sum_above": four("above", "y"), "sum_left": four("left", "x")})
+
+
+@query("intra4_best_mode", f"WITH {PLANES}, {_BORDER.replace('bo AS', 'b0 AS', 1)}, {_QUARTER}, {_sad(_DC4)}")
+def _(spark, sf):
+    return Y.best_mode(_quarter(spark, sf), ["img"], 4)
+
+
+@query("intra4_lines", f"WITH {PLANES}, {_BORDER.replace('bo AS', 'b0 AS', 1)}, {_QUARTER} SELECT {KEYS}, {out(vertical='above', horizontal='lef')} FROM bo")
+def _(spark, sf):
+    return Y.line_predictions(_quarter(spark, sf)).select("img", "i", "vertical", "horizontal")

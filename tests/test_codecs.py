@@ -413,3 +413,37 @@ def test_blending():
     assert one([1, 2, 3, 4], [9, 9, 9, 255]) == [9, 9, 9, 255] and one([1, 2, 3, 4], [9, 9, 9, 0]) == [1, 2, 3, 4] and one([1, 2, 3, 0], [9, 9, 9, 0]) == [0, 0, 0, 0]
     r = one([100, 100, 100, 255], [200, 200, 200, 128])
     assert abs(r[0] - 150) <= 1 and r[3] == 255
+
+
+def test_tables_are_read_from_the_specification(tmp_path):
+    """C listings with comments and page breaks between their lines; a saved file gives the same tables."""
+    from rasterloom.codecs.lossy import Tables
+
+    rng = np.random.default_rng(8)
+    want = Tables(rng.integers(0, 256, (4, 8, 3, 11)), rng.integers(0, 256, (4, 8, 3, 11)), rng.integers(0, 256, (10, 10, 9)))
+    braces = lambda x: "{ " + ", ".join(braces(v) for v in x) + "}" if isinstance(x, list) else str(x)
+    page = "\n\nSomeone, et al.        Informational      [Page 70]\n\x0c\nRFC 6386   Title 3   November 2011\n\n"
+    text = f"   const Prob default_coeff_probs [num_types] [3]\n =\n {braces(want.coefficients.tolist()).replace('}, {', '},' + page + '/* block type 1 */ {', 3)};\n"
+    text += f"const Prob coeff_update_probs[4][8] = {braces(want.updates.tolist())};\n const Prob kf_bmode_probs [a] [b]\n [c-1] =\n{braces(want.modes.tolist())};"
+    got = Tables.of_specification(text)
+    got.save(f"{tmp_path}/tables.json")
+    for t in (got, Tables.load(f"{tmp_path}/tables.json")):
+        assert (t.coefficients == want.coefficients).all() and (t.updates == want.updates).all() and (t.modes == want.modes).all()
+    with pytest.raises(ValueError):
+        Tables.of_specification(text[:5000])
+
+
+def test_a_large_plane_and_picture(spark):
+    """A million values through the gradient filter and back, and pixels of a picture in several batches."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.operators import alpha as A
+    from rasterloom.operators import images as I
+
+    n = 1 << 20
+    plane = spark.range(n).select(F.lit(1).alias("img"), F.col("id").cast("int").alias("i"), (F.col("id") % 1024).cast("int").alias("x"), F.floor(F.col("id") / 1024).cast("int").alias("y"), (F.xxhash64("id") % 128 + 128).cast("int").alias("v"))
+    back = A.reverse_filter(A.apply_filter(plane, 1024, "gradient"), 1024, "gradient")
+    assert back.columns == plane.columns and back.join(plane.withColumnRenamed("v", "w"), ["img", "i"]).where("v = w").count() == n
+    rgba = np.random.default_rng(2).integers(0, 256, (700, 500, 4)).astype(np.uint8)
+    got = I.exploded(spark.createDataFrame([(7, 500, 700, bytearray(rgba.tobytes()))], "img long, width int, height int, rgba binary")).orderBy("i").toPandas()
+    assert len(got) == 350_000 and (got[["r", "g", "b", "a"]].to_numpy() == rgba.reshape(-1, 4)).all() and (got.x + got.y * 500 == got.i).all()
