@@ -6,10 +6,14 @@ parallel over pixels, and one task holds one pixel's history at a time, never an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import Pixel, blend
+from ..codecs import image
 
 NONE, BACKGROUND = 0, 1  # dispose
 ALPHA, REPLACE = 0, 1  # blend
@@ -31,27 +35,35 @@ def keyframe(frame_no: Column, blend_: Column, dispose: Column, w: Column, h: Co
     return (frame_no == 0) | (blend_ == REPLACE) & (dispose == BACKGROUND) & (w >= canvas_w) & (h >= canvas_h)
 
 
-def _as(p: Pixel) -> Column:
-    return F.struct(*[v.cast("int").alias(c) for c, v in zip("argb", p)])
-
-
 def compose(layers: DataFrame, background: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
     """anim, frame_no, x, y, a, r, g, b: the canvas as shown at each frame that touches the pixel.
 
     layers: anim, frame_no, x, y (on the canvas), a, r, g, b, dispose, blend. Frames that don't touch a pixel leave it as it was after the
-    last that did, so only touching frames are rows.
+    last that did, so only touching frames are rows. A batch's pixels take their first layers at once, then their second ones, and so on:
+    the work is one step for each layer.
     """
-    layer = F.struct("frame_no", "a", "r", "g", "b", "dispose", "blend")
-    rows = layers.groupBy("anim", "x", "y").agg(F.sort_array(F.collect_list(layer)).alias("layers"))  # one pixel's history
-    bg = Pixel(*(F.lit(v) for v in background))
-
-    def step(state: Column, l: Column) -> Column:
-        under, src = Pixel(*(state["now"][c] for c in "argb")), Pixel(*(l[c] for c in "argb"))
-        shown = Pixel(*(F.when(l["blend"] == ALPHA, m).otherwise(s) for m, s in zip(blend(under, src), src)))
-        left = Pixel(*(F.when(l["dispose"] == BACKGROUND, b).otherwise(s) for b, s in zip(bg, shown)))
-        return F.struct(_as(left).alias("now"), F.concat(state["out"], F.array(F.struct(l["frame_no"].alias("frame_no"), _as(shown).alias("p")))).alias("out"))
-
-    kind = f"array<struct<frame_no: {layers.schema['frame_no'].dataType.simpleString()}, p: struct<a: int, r: int, g: int, b: int>>>"
-    start = F.struct(_as(bg).alias("now"), F.array().cast(kind).alias("out"))
-    shown = rows.select("anim", "x", "y", F.explode(F.aggregate("layers", start, step, lambda s: s["out"])).alias("s"))
-    return shown.select("anim", "s.frame_no", "x", "y", *[F.col(f"s.p.{c}").alias(c) for c in "argb"])
+    names, fields = ("anim", "x", "y"), ("a", "r", "g", "b", "dispose", "blend")
+    layer = F.struct("frame_no", *[F.col(c).cast("int").alias(c) for c in fields])
+    rows = layers.groupBy(*names).agg(F.sort_array(F.collect_list(layer)).alias("layers"))  # one pixel's history
+    kind = {f.name: f.dataType.simpleString() for f in layers.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("layers")
+            at, flat = own.offsets.to_numpy().astype(np.int64), own.values
+            each = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in fields}
+            src = np.stack([each[c] for c in "rgba"], 1).astype(np.uint8)
+            shown, many = np.empty_like(src), np.diff(at)
+            now = np.tile(np.array([*background[1:], background[0]], np.uint8), (len(many), 1))
+            clear = now[:1].copy()
+            for k in range(int(many.max(initial=0))):
+                live = np.flatnonzero(many > k)
+                place = at[live] + k
+                shown[place] = np.where((each["blend"][place] == ALPHA)[:, None], image.blend(now[live], src[place]), src[place])
+                now[live] = np.where((each["dispose"][place] == BACKGROUND)[:, None], clear, shown[place])
+            take = pa.array(np.repeat(np.arange(len(many)), many))
+            part = slice(int(at[0]), int(at[-1]))
+            columns = [b.column("anim").take(take), flat.field("frame_no").slice(part.start, part.stop - part.start), b.column("x").take(take), b.column("y").take(take)]
+            yield pa.record_batch([*columns, *(pa.array(shown[part, c].astype(np.int32)) for c in (3, 0, 1, 2))], ["anim", "frame_no", "x", "y", *"argb"])
+
+    return rows.mapInArrow(run, f"anim {kind['anim']}, frame_no {kind['frame_no']}, x {kind['x']}, y {kind['y']}, a int, r int, g int, b int")

@@ -447,3 +447,15 @@ def test_a_large_plane_and_picture(spark):
     rgba = np.random.default_rng(2).integers(0, 256, (700, 500, 4)).astype(np.uint8)
     got = I.exploded(spark.createDataFrame([(7, 500, 700, bytearray(rgba.tobytes()))], "img long, width int, height int, rgba binary")).orderBy("i").toPandas()
     assert len(got) == 350_000 and (got[["r", "g", "b", "a"]].to_numpy() == rgba.reshape(-1, 4)).all() and (got.x + got.y * 500 == got.i).all()
+
+
+def test_a_long_animation_on_one_pixel(spark):
+    """Five thousand frames that touch a pixel, against the codec."""
+    from rasterloom.operators import animation as N
+
+    rng, n = np.random.default_rng(6), 5000
+    frames = [image.Frame(rng.integers(0, 256, (1, 2, 4)).astype(np.uint8), 0, 0, 1, bool(rng.integers(0, 5) == 0), bool(rng.integers(0, 2))) for _ in range(n)]
+    want = image.compose(image.Animation(2, 2, frames))
+    rows = [(1, k, x, 0, *(int(f.pixels[0, x, c]) for c in (3, 0, 1, 2)), int(f.dispose_background), int(f.replace)) for k, f in enumerate(frames) for x in (0, 1)]
+    got = N.compose(spark.createDataFrame(rows, "anim long, frame_no int, x int, y int, a int, r int, g int, b int, dispose int, blend int")).collect()
+    assert len(got) == 2 * n and all((r.r, r.g, r.b, r.a) == tuple(want[r.frame_no][0, r.x].tolist()) for r in got)
