@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that very long texts don't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -41,6 +42,11 @@ def staged(df: DataFrame, codec: str = "zstd", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most `most` rows (8 MB), which is counted; else left as it is, to be shuffled."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes as uint8, offsets as int64 from 0) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,6 +1,7 @@
 """Decontamination, suffix dedup and the n-gram join against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -167,31 +168,79 @@ def plain_components(corpus, span, num, den):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize(("span", "num", "often", "large", "bucket"), [(4, 85, None, 256, 32), (5, 80, None, 256, 32), (4, 85, 4, 256, 2), (4, 85, 4, 110, 2), (2, 60, 2, 40, 2)])
-def test_ngram_join(docs, corpus, span, num, often, large, bucket, monkeypatch):
+@pytest.mark.parametrize(
+    ("span", "num", "often", "sizes", "bucket"),
+    [(4, 85, None, (64, 384), 32), (5, 80, None, (64, 384), 32), (4, 85, 4, (64, 384), 2), (4, 85, 4, (0, 110), 2), (4, 85, 1, (110, 150), 2), (2, 60, 2, (20, 40), 2)],
+)
+def test_ngram_join(docs, corpus, span, num, often, sizes, bucket, monkeypatch):
     """Also where a low bound makes tokens frequent, so that combinations, long sets and rounds of pivots are used."""
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", bucket)
     if often:
         counts = Counter()
         for s in shingle_sets(*bytes_of(corpus), span):
             counts.update((s & np.uint64(ngram_join.WIDTH - 1)).tolist())
-        bits = np.zeros(ngram_join.WIDTH, bool)
-        bits[[k for k, n in counts.items() if n > often]] = True
-        monkeypatch.setattr(ngram_join, "_frequent", lambda slices, tokens: np.packbits(bits).tobytes())
-    plain = ngram_join.index_keys
+        classes = np.zeros(ngram_join.WIDTH, np.uint8)
+        for k, n in counts.items():
+            classes[k] = 0 if n <= often else min(15, 1 + int(np.log2(n / often)))
+        monkeypatch.setattr(ngram_join, "_classes", lambda slices, tokens: (classes[::2] | classes[1::2] << 4).tobytes())
+    plain = ngram_join.index_entries
 
-    def keys(tokens, frequent, numerator, denominator):
+    def entries(tokens, classes, numerator, denominator):
         from rasterloom.llm import ngram_join as module
 
-        module.LARGE = large
-        return plain(tokens, frequent, numerator, denominator)
+        module.SIZES, module.HIGH = {3: sizes[0], 2: sizes[1]}, 2
+        return plain(tokens, classes, numerator, denominator)
 
-    monkeypatch.setattr(ngram_join, "LARGE", large)
-    monkeypatch.setattr(ngram_join, "index_keys", keys)
+    monkeypatch.setattr(ngram_join, "SIZES", {})
+    monkeypatch.setattr(ngram_join, "HIGH", 2)
+    monkeypatch.setattr(ngram_join, "index_entries", entries)
     rows = ngram_join.jaccard_components(docs, span, num, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(corpus, span, num, 100)
 
 
+@pytest.mark.parametrize("sizes", [{3: 64, 2: 384}, {3: 20, 2: 30}, {3: 0, 2: 0}, {3: 40, 2: 40}])
+def test_linked_sets_meet_in_an_entry(sizes, monkeypatch):
+    """Whatever the classes: an entry in common at which neither's reach is below what they need."""
+    monkeypatch.setattr(ngram_join, "SIZES", sizes)
+    rng, linked = np.random.default_rng(7), 0
+    for _ in range(1500):
+        pool = np.unique(rng.integers(0, 1 << 63, int(rng.integers(2, 60))).astype(np.uint64))
+        x, y = (pool[rng.random(len(pool)) < rng.choice([1.0, 0.97, 0.9])] for _ in range(2))
+        both = len(np.intersect1d(x, y))
+        num = int(rng.choice([60, 80, 85]))
+        if not both or 100 * both < num * (len(x) + len(y) - both):
+            continue
+        linked += 1
+        kind = dict(zip(pool.tolist(), rng.integers(0, int(rng.integers(1, 9)), len(pool)).tolist()))
+        found = []
+        for s in (x, y):
+            a, ra, c, rc = ngram_join.index_entries(s, np.array([kind[t] for t in s.tolist()], np.uint8), num, 100)
+            best = {}
+            for k, r in [*zip(a.tolist(), ra.tolist()), *zip(c.tolist(), rc.tolist())]:
+                best[k] = max(best.get(k, 0), r)
+            found.append(best)
+        reach = max((min(found[0][k], found[1][k]) for k in found[0].keys() & found[1].keys()), default=0)
+        assert x.tobytes() == y.tobytes() or reach * (100 + num) >= num * (len(x) + len(y))
+    assert linked > 200
+
+
+def test_a_family_just_outside_the_threshold_gives_few_candidates(spark, monkeypatch):
+    """400 versions of one text, each with three words of its own: no two link, and pairs don't grow with the square of the family."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):
+        w = list(base)
+        for k in rng.sample(range(4, 146), 3 if i > 40 else 1):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    tested, plain = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *a: (tested.append(pairs.count()), plain(pairs, *a))[1])
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == {d: c for d, (_, c) in plain_components(rows, 4, 85, 100).items()}
+    assert sum(tested) < 5 * len(rows)
+
+
 def test_parity_rules_out_no_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
