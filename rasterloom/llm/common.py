@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ def staged(df: DataFrame, codec: str = "zstd", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with all columns but the kept ones under names that no operator uses, and what gives them back, with further columns after them."""
+    names = [c if c in kept else f"column_{k}" for k, c in enumerate(df.columns)]
+    was = df.columns
+    return df.toDF(*names), lambda out, *more: out.select(*[F.col(n).alias(c) for n, c in zip(names, was)], *more)
+
+
 def few(ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     """A written table of ids, to be broadcast if it has at most `most` rows (8 MB), which is counted; else left as it is, to be shuffled."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
@@ -70,7 +78,5 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished steps; between steps that are staged nothing of them is needed."""
-    import gc
-
     gc.collect()
     spark._jvm.System.gc()

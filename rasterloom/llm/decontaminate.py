@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, utf8
+from .common import apart, batches, read, small_batches, utf8
 
 SPAN = 13
 SHARE = 20  # contaminated: hits are at least one word in SHARE
@@ -149,7 +149,8 @@ def is_contaminated(share: int = SHARE) -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with its columns, that are not contaminated."""
-    return with_hits(docs, benchmark).where(~is_contaminated()).drop("__hits")
+    own, back = apart(docs, "text")
+    return back(with_hits(own, benchmark).where(~is_contaminated()))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

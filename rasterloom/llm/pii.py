@@ -2,12 +2,14 @@
 
 detect: one pattern (ENTITY) finds e-mail addresses, payment card numbers, phone numbers, IPv4 addresses, IBANs, US social security
 numbers, secrets (long hexadecimal or key-like strings) and names after a title. replace: every distinct entity of the whole corpus gets one
-surrogate, so mentions of one entity stay one (coreference) and different entities stay different (distinctness).
+surrogate, so mentions of one entity stay one (coreference) and different entities stay different (distinctness). Spellings are one entity where digits
+(of phone, card and social security numbers), small letters (of e-mail addresses) or letters without spaces (of IBANs) are the same; a name is
+its given name and its surname, so `Mr Adam Stone` and `Mr. Stone` keep one surname. A country code is part of a phone number; a name without a title is not found.
 
-A surrogate is drawn from SHA-256 of (key, kind, attempt, entity): letters become letters of the same script and case, digits digits,
-punctuation stays; country codes, domains' endings and the prefixes of keys stay (only hexadecimal strings are drawn from a to f); cards that hold the Luhn test still do; address octets stay below 255; a name keeps
-its title and gets a given name of the title's gender, in its script. Collision check: candidates that are an entity of the corpus are
-dropped, and of the entities that drew one candidate the first in (attempt, entity) order has it; an entity left without draws again.
+A surrogate is drawn from SHA-256 of (key, kind, attempt, part): letters become letters of the same script and case, digits digits,
+punctuation stays; country codes, domains' endings and the prefixes of keys stay (only hexadecimal strings are drawn from a to f); cards that hold the Luhn test still do, as do IBANs theirs; address octets stay below 255; a name keeps
+its title and gets a given name of the title's gender, in its script. Collision check: candidates that are a part of the corpus are
+dropped, and of the parts that drew one candidate the first in (attempt, part) order has it; a part left without draws again.
 
 Only entities and the texts that hold one are shuffled, hashed by text, so copies count once on the map side. Null text stays null and has
 no entity; every row of the input comes back once, with its other columns.
@@ -15,12 +17,13 @@ no entity; every row of the input comes back once, with its other columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_folder, staged
+from .common import apart, read, shared_folder, staged
 
 KEY = "rasterloom surrogate key 1"  # the production key is the caller's to give
 TRIES = 4  # candidates an entity draws at once
@@ -85,10 +88,16 @@ def _redrawn(value: Column, seed: Column, keep: Column, hexadecimal: Column) ->
     return F.array_join(F.transform(chars, one), "")
 
 
+def _remainder(iban: Column) -> Column:
+    """An IBAN without spaces modulo 97, with its first four places moved to the end and letters counted from 10."""
+    turned = F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, F.lit(1), F.lit(4))), "")
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
 def _luhn(digits: Column, odd: int) -> Column:
     """Sum of the Luhn test; odd: 1 where the last digit counts once (a whole number), 0 where a check digit is still to come."""
     back = F.split(F.reverse(digits), "")
-    return F.aggregate(F.transform(back, lambda c, i: F.when((i + odd) % 2 == 1, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int"))), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(back, lambda c, i: F.when((i + odd) % 2 == 1, c.try_cast("int")).otherwise((c.try_cast("int") * 2) % 10 + F.floor(c.try_cast("int") * 2 / 10).cast("int"))), F.lit(0), lambda a, x: a + x)
 
 
 GIVEN = {  # beginnings, then endings by gender, for the scripts that names are drawn in
@@ -104,79 +113,137 @@ def _pick(words: str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, own)), (n % len(own) + 1).cast("int"))
 
 
-def _name(value: Column, seed: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(value, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", 0)
-    female = title.rlike(rf"^(?:{TITLES_F})\.? $")
-    parts = F.size(F.split(F.substring(value, F.length(title) + 1, F.length(value)), r"[ \-]"))
-    joint = F.when(value.rlike(r"-\p{Lu}\p{Ll}+$"), F.lit("-")).otherwise(F.lit(" "))
+def _script(value: Column, of: Callable[[str], Column]) -> Column:
+    return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+
+
+def _given(value: Column, seed: Column, attempt: Column, female: Column) -> Column:
+    """A given name of the script and gender; later attempts have a syllable more, so that there are enough."""
 
     def of(script: str) -> Column:
         first, male, fem = GIVEN[script]
-        n = [_draw(seed, F.lit(i)) for i in range(1, 6)]
-        # a title and one word is a surname; with two words the first is a given name
-        given = F.concat(_pick(first, n[0]), F.when(female, _pick(fem, n[1])).otherwise(_pick(male, n[1])))
-        more = F.when(attempt < 3, F.lit("")).otherwise(F.lower(_pick(first, n[4])))
-        last = F.concat(_pick(first, n[2]), F.lower(_pick(first, n[4])), more, _pick(SURNAME[script], n[3]))
-        return F.when(parts > 1, F.concat(title, given, joint, last)).otherwise(F.concat(title, last))
+        n = [_draw(seed, F.lit(i)) for i in range(1, 5)]
+        more = [F.when(attempt < least, F.lit("")).otherwise(F.lower(_pick(first, n[k]))) for least, k in ((2, 2), (8, 3))]
+        return F.concat(_pick(first, n[0]), *more, F.when(female, _pick(fem, n[1])).otherwise(_pick(male, n[1])))
+
+    return _script(value, of)
 
-    return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
+def _surname(value: Column, seed: Column, attempt: Column) -> Column:
+    """A surname of the script; two with a hyphen for two."""
 
-def candidate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The attempt-th surrogate of an entity: a function of key, kind, attempt and entity alone."""
-    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value)
+    def of(script: str) -> Column:
+        first = GIVEN[script][0]
+
+        def one(at: int) -> Column:
+            n = [_draw(seed, F.lit(at + i)) for i in range(1, 5)]
+            return F.concat(_pick(first, n[0]), F.lower(_pick(first, n[1])), F.when(attempt < 3, F.lit("")).otherwise(F.lower(_pick(first, n[2]))), _pick(SURNAME[script], n[3]))
+
+        return F.when(value.contains("-"), F.concat(one(0), F.lit("-"), one(4))).otherwise(one(0))
+
+    return _script(value, of)
+
+
+def parts_of(value: Column, kind: Column) -> Column:
+    """What of a mention is drawn, as (kind, norm): the same for all spellings of one entity. Of a number its digits, of an address its small letters,
+    of a name its given name (by gender) and its surname; else the mention itself."""
+    title = F.regexp_extract(value, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", 0)
+    female = title.rlike(rf"^(?:{TITLES_F})\.? $")
+    names = F.substring(value, F.length(title) + 1, F.length(value))
+    given, surname = F.substring_index(names, " ", 1), F.substring_index(names, " ", -1)
+    part = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
     digits = F.regexp_replace(value, "[^0-9]", "")
-    typed = F.when(kind == "secret", F.length(F.regexp_extract(value, rf"^{PREFIX}(?:(?:live|test|proj)[\-_])?", 0))).otherwise(0)
-    plain = _redrawn(value, seed, typed, (kind == "secret") & (typed == 0))
-    plain = F.when(value.startswith("AKIA"), F.translate(plain, "0189", "2345")).otherwise(plain)  # such keys are base 32
-    ending = F.regexp_extract(value, r"\.\p{L}{2,}$", 0)
-    head = F.substring(value, F.lit(1), F.length(value) - F.length(ending))
-    email = F.concat(_redrawn(head, seed, F.lit(0), F.lit(False)), ending)
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(\-])", 0)
-    phone = _redrawn(value, seed, F.length(code), F.lit(False))
-    octets = F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (_draw(seed, i + 1) % 223 + 1).cast("string")), ".")
-    body = _redrawn(value, seed, F.lit(0), F.lit(False))
-    front = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - 1), "[^0-9]", "")
-    check = ((10 - _luhn(front, 0) % 10) % 10).cast("string")
-    card = F.when(_luhn(digits, 1) % 10 == 0, F.concat(F.substring(body, F.lit(1), F.length(body) - 1), check)).otherwise(body)
-    iban = _redrawn(value, seed, F.lit(2), F.lit(False))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", _name(value, seed, attempt)).otherwise(plain)
+    plus = F.when(value.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(value, r"^\+([0-9]{1,3})(?=[ .(\-])", 1), F.lit(" "))).otherwise("")
+    return (
+        F.when((kind == "name") & names.contains(" "), F.array(part(F.when(female, F.lit("given_f")).otherwise(F.lit("given_m")), given), part(F.lit("surname"), surname)))
+        .when(kind == "name", F.array(part(F.lit("surname"), surname)))
+        .when(kind == "email", F.array(part(kind, F.lower(value))))
+        .when(kind == "phone", F.array(part(kind, F.concat(plus, F.substring(digits, F.greatest(F.length(plus) - 1, F.lit(1)), F.length(digits))))))
+        .when(kind.isin("card", "ssn"), F.array(part(kind, digits)))
+        .when(kind == "iban", F.array(part(kind, F.replace(value, F.lit(" "), F.lit("")))))
+        .otherwise(F.array(part(kind, value)))
+    )
+
+
+def candidate(norm: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """The attempt-th surrogate of a part: a function of key, kind, attempt and part alone, in the part's form."""
+    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm)
+    typed = F.when(kind == "secret", F.length(F.regexp_extract(norm, rf"^{PREFIX}(?:(?:live|test|proj)[\-_])?", 0))).otherwise(0)
+    plain = _redrawn(norm, seed, typed, (kind == "secret") & (typed == 0))
+    plain = F.when(norm.startswith("AKIA"), F.translate(plain, "0189", "2345")).otherwise(plain)  # such keys are base 32
+    ending = F.regexp_extract(norm, r"\.\p{L}{2,}$", 0)
+    email = F.concat(_redrawn(F.substring(norm, F.lit(1), F.length(norm) - F.length(ending)), seed, F.lit(0), F.lit(False)), ending)
+    phone = _redrawn(norm, seed, F.length(F.regexp_extract(norm, r"^\+[0-9]* ", 0)), F.lit(False))
+    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (_draw(seed, i + 1) % 223 + 1).cast("string")), ".")
+    body = _redrawn(norm, seed, F.lit(0), F.lit(False))
+    front = F.substring(body, F.lit(1), F.length(body) - 1)
+    card = F.when(_luhn(norm, 1) % 10 == 0, F.concat(front, ((10 - _luhn(front, 0) % 10) % 10).cast("string"))).otherwise(body)
+    drawn = _redrawn(norm, seed, F.lit(2), F.lit(False))
+    checked = lambda check: F.concat(F.substring(drawn, 1, 2), check, F.substring(drawn, F.lit(5), F.length(drawn)))
+    iban = F.when(_remainder(norm) == 1, checked(F.lpad((98 - _remainder(checked(F.lit("00")))).cast("string"), 2, "0"))).otherwise(drawn)
+    return (
+        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", iban)
+        .when(kind == "given_f", _given(norm, seed, attempt, F.lit(True))).when(kind == "given_m", _given(norm, seed, attempt, F.lit(False)))
+        .when(kind == "surname", _surname(norm, seed, attempt)).otherwise(plain)
+    )
+
+
+def rendered(value: Column, kind: Column, drawn: Column) -> Column:
+    """The surrogate in the format of a mention. drawn: an array of the surrogates of its parts, in their order."""
+    chars, one = F.split(value, ""), F.element_at(drawn, 1)
+    digits = F.regexp_replace(one, "[^0-9]", "")
+    numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
+    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(one, F.length(F.replace(F.substring(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(one, i + 1, F.lit(1)))).otherwise(F.substring(one, i + 1, F.lit(1)))), "")
+    title = F.regexp_extract(value, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", 0)
+    return (
+        F.when(kind.isin("phone", "card", "ssn"), numbered).when(kind == "iban", spaced).when((kind == "email") & (value != F.lower(value)), cased)
+        .when(kind == "name", F.concat(title, F.array_join(drawn, " "))).otherwise(one)
+    )
 
 
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
-    """value -> surrogate for the distinct values of found (column value). One to one; no surrogate is itself a value.
+    """value -> surrogate for the distinct values of found (column value). Spellings of one entity get one surrogate, each in its format; different
+    entities get different ones, and none that is itself in the corpus.
 
-    Entities left without a candidate draw again, until none is left; each round settles all but those that collided.
+    Parts left without a candidate draw again, until none is left; each round settles all but those that collided.
     """
     spark = found.sparkSession
     folder = shared_folder(spark)
-    found.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).write.parquet(f"{folder}/values")
+    found.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("parts", parts_of(F.col("value"), F.col("kind"))).write.parquet(f"{folder}/values")
     values = spark.read.parquet(f"{folder}/values")
-    left, done, at = values, None, 0
+    values.select(F.explode("parts").alias("part")).select("part.kind", "part.norm").distinct().write.parquet(f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
+    # drawing is all computing and few bytes, so it is dealt out by number and not by size
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, done, at = parts, None, 0
     while True:
-        drawn = left.select("value", "kind", F.explode(F.array(*[F.lit(at + i) for i in range(TRIES)])).alias("attempt"))
-        drawn = drawn.withColumn("surrogate", candidate(F.col("value"), F.col("kind"), key, F.col("attempt")))
-        free = drawn.join(values.select(F.col("value").alias("surrogate")), "surrogate", "left_anti")
+        drawn = left.repartition(wide, "norm").select("kind", "norm", F.explode(F.array(*[F.lit(at + i) for i in range(TRIES)])).alias("attempt"))
+        drawn = drawn.withColumn("surrogate", candidate(F.col("norm"), F.col("kind"), key, F.col("attempt")))
+        free = drawn.join(parts.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done.select("surrogate"), "surrogate", "left_anti")
-        won = free.groupBy("surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
-        won = won.groupBy(F.col("first.value").alias("value")).agg(F.min(F.struct("first.attempt", "surrogate")).alias("best")).select("value", F.col("best.surrogate").alias("surrogate"))
+            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        won = free.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"))
+        won = won.groupBy("kind", F.col("first.norm").alias("norm")).agg(F.min(F.struct("first.attempt", "surrogate")).alias("best")).select("kind", "norm", F.col("best.surrogate").alias("surrogate"))
         won.write.mode("append").parquet(f"{folder}/done")
         done = spark.read.parquet(f"{folder}/done")
-        rest = values.join(done, "value", "left_anti")
+        rest = parts.join(done, ["kind", "norm"], "left_anti")
         at += TRIES
         if rest.isEmpty():
-            return done
+            break
         if at >= 400:
             raise ValueError("some entities find no free surrogate: their formats have fewer values than the corpus has entities")
         left = rest
+    each = values.select("value", F.col("kind").alias("whole"), F.posexplode("parts").alias("place", "part")).select("value", "whole", "place", "part.kind", "part.norm")
+    met = each.join(done, ["kind", "norm"]).groupBy("value", "whole").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("drawn"))  # two parts at most
+    return staged(met.repartition(wide, "value").select("value", rendered(F.col("value"), F.col("whole"), F.col("drawn.surrogate")).alias("surrogate")))
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text, and n_entities long: mentions replaced in the row."""
-    names = [c for c in docs.columns if c != "n_entities"]
+    """docs with surrogates in text, and n_entities long: mentions replaced in the row. A column named n_entities, in whatever case, is replaced; others stay."""
+    docs, back = apart(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_entities"]), "text")
+    names = docs.columns
     keep = [F.col(c) for c in names]
-    docs = docs.select(*keep)
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("__text")
     # Each distinct text that holds an entity once, with its distinct entities.
     held = staged(docs.select(digest, F.array_distinct(entities(F.col("text"))).alias("__values")).where(F.size("__values") > 0).dropDuplicates(["__text"]))
@@ -188,7 +255,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     mended = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size("__found")), F.transform("__found", lambda v: F.element_at(F.col("__map"), v)), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
     changed = hit.join(maps, "__text").select(*[mended.alias("text") if c == "text" else F.col(c) for c in names], F.size("__found").cast("long").alias("n_entities"))
     same = docs.where(F.size(entities(F.col("text"))) <= 0).select(*keep, F.lit(0).cast("long").alias("n_entities"))
-    return same.unionByName(changed)
+    return back(same.unionByName(changed), "n_entities")
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
