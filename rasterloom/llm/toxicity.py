@@ -3,9 +3,13 @@
 A text's terms are its distinct lower-cased runs of letters and their beginnings of PREFIXES letters (one stem with many endings
 counts as one term), hashed to 2**BITS columns. The machine scores
     b + sum w_i + sum_{i<j} <v_i, v_j>
-so a pair of terms (an insult and the mention of a group) can count for more, or less, than the two alone. It is fitted with numpy on
-the driver from a bounded sample of labelled rows (SAMPLE of them, by hash of doc_id); only hashed terms come to the driver. Scoring is
-one pass without a shuffle. Null and empty texts have no terms and get the bias alone.
+so a pair of terms (an insult and the mention of a group) can count for more, or less, than the two alone. Weights are given to the
+columns that tell the classes apart alone, or as one of a pair where either alone says nothing. It is fitted with numpy on
+the driver from a bounded sample of labelled rows (SAMPLE of them and SAMPLE_TERMS terms, by hash of doc_id); only hashed terms come to the driver. Scoring is
+one pass without a shuffle. Null and empty texts have no terms and get the bias alone. Of contradicting labels of one doc_id the toxic one
+holds; rows with one doc_id count once in fitting, by the greatest of their terms.
+
+scored() replaces columns named score and predicted.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, texts
+from .common import batches, read, small_batches, staged, texts
 from .encoding import Cache
 
 BITS, RANK = 18, 8
-SAMPLE = 12_000  # labelled rows that the model is fitted on, at most
+SAMPLE, SAMPLE_TERMS = 12_000, 32_000_000  # labelled rows that the model is fitted on, and terms of them in all, at most
 PREFIXES = (3, 4, 5, 6)
-KEPT, GAIN = 2048, 14.0  # hashed terms with weights, at most, and their least log-likelihood ratio; the others hardly tell the classes apart
+KEPT, GAIN = 2048, 14.0  # columns given weights for themselves, at most, and their least log-likelihood ratio
+PAIRED, PAIRS, PAIR_GAIN = 1536, 256, 40.0  # columns of the greatest variance that are tried in pairs; pairs whose columns get weights, at most, and what a pair has to tell beyond its columns
 EPOCHS, RATE, DECAY, BATCH = 20, 0.1, 1e-3, 64
 TIMES = 3.0  # weight of a toxic row, as they are few
 THRESHOLD = 0.7
@@ -61,6 +66,54 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Columns of the pairs that tell the classes apart by being together, beyond what their columns tell alone.
+
+    For two columns the rows fall into four cells, by which of them they hold. The pair's gain is the log-likelihood ratio of the label over the
+    four cells less that over each column's two. Cells are counted for all pairs of PAIRED columns by products of matrices, in blocks of rows.
+    """
+    n, pos = len(rows), float(labels.sum())
+    spread = counts * (n - counts)
+    top = np.sort(np.argsort(-spread, kind="stable")[:PAIRED])
+    top = top[spread[top] > 0]
+    if len(top) < 2 or not 0 < pos < n:
+        return np.zeros(0, np.int64)
+    place = np.full(len(counts), -1, np.int32)
+    place[top] = np.arange(len(top))
+    both = np.zeros((2, len(top), len(top)), np.float32)
+    for i in range(0, n, 1024):
+        x = np.zeros((min(1024, n - i), len(top)), np.float32)
+        for k, r in enumerate(rows[i : i + 1024]):
+            at = place[r]
+            x[k, at[at >= 0]] = 1
+        for y in (0, 1):
+            own = x[(labels[i : i + 1024] > 0) == y]
+            both[y] += own.T @ own
+
+    def told(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the labels in a cell of so many rows of each kind."""
+        toxic, clean = np.maximum(toxic, 0), np.maximum(clean, 0)
+        m = toxic + clean + 1e-9
+        return toxic * np.log((toxic + 1e-9) / m) + clean * np.log((clean + 1e-9) / m)
+
+    one = both.diagonal(axis1=1, axis2=2)
+    alone = told(one[1], one[0]) + told(pos - one[1], n - pos - one[0])
+    base = float(told(np.float64(pos), np.float64(n - pos)))
+    found = []
+    for k in range(len(top)):  # a row of pairs at a time
+        t, c = both[1, k, k + 1 :].astype(float), both[0, k, k + 1 :].astype(float)
+        a, b, d, e = one[1, k] - t, one[0, k] - c, one[1, k + 1 :] - t, one[0, k + 1 :] - c
+        joint = told(t, c) + told(a, b) + told(d, e) + told(pos - t - a - d, n - pos - c - b - e)
+        more = 2 * (joint - alone[k] - alone[k + 1 :] + base)
+        # a column and another that mostly stands with it (a word and its beginning) tell nothing as a pair
+        apart = np.minimum(a + b, d + e) >= 0.05 * np.minimum(one[:, k].sum(), one[:, k + 1 :].sum(0))
+        found += [(-more[j], k, k + 1 + j) for j in np.flatnonzero(apart & (more > PAIR_GAIN))]
+        if len(found) > 64 * PAIRS:
+            found = sorted(found)[:PAIRS]
+    chosen = sorted(found)[:PAIRS]
+    return np.unique(top[[i for _, a, b in chosen for i in (a, b)]]) if chosen else np.zeros(0, np.int64)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     """Adagrad on the logistic loss; the same rows in the same order give the same machine."""
     size, n, pos = 1 << BITS, len(rows), max(1, int(labels.sum()))
@@ -72,7 +125,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     m = (c1 + c0 + 1) / (pos + neg + 2)
     gain = 2 * (pos * (p * np.log(p / m) + (1 - p).clip(1e-9) * np.log((1 - p).clip(1e-9) / (1 - m))) + neg * (q * np.log(q / m) + (1 - q).clip(1e-9) * np.log((1 - q).clip(1e-9) / (1 - m))))
     kept = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    kept = kept[gain[kept] > GAIN].astype(np.int32)
+    kept = np.union1d(kept[gain[kept] > GAIN], paired(rows, labels, c0 + c1)).astype(np.int32)
     own = []
     for r in rows:
         at = np.searchsorted(kept, r)
@@ -114,8 +167,8 @@ def fold() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine fitted on a bounded sample of labelled rows outside the held-out fold."""
     small_batches(docs.sparkSession)
-    chosen = labels.where((fold() != 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(SAMPLE)
+    chosen = labels.where((fold() != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def taken(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +177,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             found = [terms(t, known) for t in texts(b.column("text"))]
             yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "toxic", "terms"])
 
-    got = sorted(((r.doc_id, r.toxic, bytes(r.terms)) for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(taken, "doc_id long, toxic int, terms binary").toLocalIterator()))
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(taken, "doc_id long, toxic int, terms binary")
+    once = staged(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")).withColumn("turn", F.xxhash64(F.lit(2), "doc_id")))  # SAMPLE rows at most
+    sums = once.select("turn", "doc_id", (F.length("terms") / 4).cast("long").alias("n")).toPandas().sort_values(["turn", "doc_id"])
+    past = sums[sums.n.cumsum() > SAMPLE_TERMS]
+    if len(past):  # very long texts: fewer rows
+        once = once.where(F.struct("turn", "doc_id") < F.struct(F.lit(int(past.turn.iloc[0])), F.lit(int(past.doc_id.iloc[0]))))
+    got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in once.toLocalIterator())
     return fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], float))
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score double and predicted int added; only text is looked at."""
+    """docs with score double and predicted int added, or in place of such columns in whatever case; only text is looked at."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     docs = docs.select(*names)
 
     def score(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
