@@ -4,7 +4,7 @@ Pages of one host are merged: elements with the same path of (tag, class) are on
 has presentations (the sequence of its children) and contents (the text below it), and for each an entropy, divided by the largest that so
 many occurrences can have. A node's importance mixes the two; branches that a host repeats nearly unchanged have little of it and
 are cut from every page, whether the page has an article or not. Two things entropy cannot see are decided by what the markup says: scripts, forms, navigation, adverts,
-comments and the like are cut by tag, role and class even where they differ on every page, and a host with fewer than LEAST
+comments and the like are cut by tag, role and class (inside an article only by classes that say nothing else) even where they differ on every page, and a host with fewer than LEAST
 occurrences of a node gives no verdict on it. Article and main elements are never cut by importance, nor with a branch above them that is.
 
 Counting is two aggregations by (host, node, feature) and (host, node) with partial sums, so one host may hold any share of the pages. Only cut
@@ -36,6 +36,11 @@ CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice gdpr "
     "newsletter subscribe subscription signup login popup modal overlay comment comments commentlist disqus reply replies share sharing social related recommended recommendations widget pagination pager toolbar search form".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("a center dd details div dl fieldset header hgroup ol section span summary td ul".split())
+BESIDE = frozenset("area bar block body bottom box button buttons container content group holder icons inner item items left link links list outer post posts right row section slot thread title top unit wrap wrapper".split())
+OF_AN_ARTICLE = frozenset("header masthead banner notice search form".split())  # words that say nothing by themselves inside an article
+ENTRY = frozenset("article entry post story".split())
 UNSEEN = RAW | frozenset("head noscript template select iframe object svg canvas audio video map".split())  # holds no text of the page, whatever is in it
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -114,16 +119,30 @@ def parse(html: str) -> Node:
     return root
 
 
-def noise(node: Node) -> bool:
-    """Whether tag, role or class says that this is not the article."""
-    if node.tag in CUT_TAGS:
+def noise(node: Node, inner: bool = False, through: frozenset[str] = frozenset()) -> bool:
+    """Whether tag, role or class says that this is not the article. inner: whether an article or main element is above it. through: tags that don't say so.
+
+    A class name is cut into its words. Of a container outside articles one telling word suffices, but for the header of an entry; inside, and of
+    elements that hold text themselves, all words have to tell (`comment-list`, but not `share-price-table`). A heading is not cut by its class.
+    """
+    if node.tag in CUT_TAGS and node.tag not in through:
         return True
     if not node.attributes or node.tag in ("article", "main"):
         return False
     for m in ATTRIBUTE.finditer(node.attributes):
-        words = PART.split((m[2] or m[3] or m[4] or "").lower())
-        if not CUT_ROLES.isdisjoint(words) if m[1].lower() == "role" else not CUT_WORDS.isdisjoint(words):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(PART.split(name)) - {""}
+            if m[1].lower() == "role":
+                if not CUT_ROLES.isdisjoint(words):
+                    return True
+            elif node.tag in HEADINGS:
+                continue
+            elif inner or node.tag not in CONTAINERS:
+                if words and words <= CUT_WORDS | BESIDE and not words <= BESIDE | OF_AN_ARTICLE:
+                    return True
+            elif told := words & CUT_WORDS:
+                if told != {"header"} or words.isdisjoint(ENTRY):
+                    return True
     return False
 
 
@@ -139,7 +158,7 @@ def keyed(root: Node) -> list[Node]:
     return out
 
 
-def walk(root: Node, cut: frozenset[int], kept: frozenset[int]) -> tuple[list[str], dict[int, bool]]:
+def walk(root: Node, cut: frozenset[int], kept: frozenset[int], through: frozenset[str] = frozenset()) -> tuple[list[str], dict[int, bool]]:
     """Blocks that stay, and of the outermost article and main elements the id and whether noise above hides it. kept: ids that noise does not hide."""
     out, now, tops = [], [], {}
 
@@ -166,7 +185,7 @@ def walk(root: Node, cut: frozenset[int], kept: frozenset[int]) -> tuple[list[st
             inner = True
         elif x.tag in UNSEEN:
             state = GONE
-        elif x is not root and (noise(x) or x.tag == "header" and not inner):
+        elif x is not root and (noise(x, inner, through) or x.tag == "header" and not inner):
             state = max(state, HIDDEN)
         elif x is not root and x.key in cut:
             state = max(state, LOW)
@@ -185,7 +204,7 @@ def blocks(root: Node, cut: frozenset[int] = frozenset()) -> list[str]:
     """Texts of the blocks that stay, white space folded, in page order. cut: keys of branches to leave out.
 
     A branch that is cut is left out but for the article and main elements in it. One that noise hides is left out whole, but for a main
-    and for what may be the page itself (an element around all of it, or one never closed): hidden articles that are all the page has, or one longer than the rest.
+    and for what may be the page itself (an element around all of it, or one never closed): hidden articles that are all the page has, or one longer than the rest. If nothing else stays, so does what stands in a form.
     """
     keyed(root)
     out, tops = walk(root, cut, frozenset())
@@ -193,6 +212,8 @@ def blocks(root: Node, cut: frozenset[int] = frozenset()) -> list[str]:
         more, _ = walk(root, cut, frozenset(tops))
         if sum(map(len, more)) > 2 * sum(map(len, out)):
             return more
+    if not out:  # a form around the whole page is not one to fill in
+        out, _ = walk(root, cut, frozenset(), frozenset({"form"}))
     return out
 
 
