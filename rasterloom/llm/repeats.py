@@ -2,16 +2,20 @@
 
 Anchors (1 in 40 bytes or so) are the positions whose hash of K bytes is least in a window of W = LENGTH - K + 1; any two equal
 strings of LENGTH bytes hold an anchor at the same place. So only anchors are shuffled:
-1. occurrences with the same anchor and the same surroundings (all strings around the anchor): all but the first are covered whole;
+1. occurrences with the same anchor and the same surroundings (all strings around the anchor, by a BLAKE2b digest of their bytes): all but the first are covered whole;
 2. of anchors with different surroundings, one occurrence of each kind is compared with the others: the surroundings are suffix-sorted
    to the right and to the left of the anchor (suffixes.py); strings that start i bytes before the anchor are equal where both
    sides share enough, and all but the first are covered;
-3. an anchor of more than HOT kinds, or of more than LOCAL within one batch, is not gathered: its strings are compared by hash
-   instead, one row each, with partial minima.
+3. an anchor of more than HOT kinds, or of more than LOCAL within one batch, is not gathered: its strings are compared by polynomial hash
+   and BLAKE2b digest instead, one row each, with partial minima.
 The covered stretches of a document meet its text in one join by doc_id.
 
 Texts are UTF-8 bytes; null is empty; matches never cross documents; strings are judged on the input. doc_id names a document: repeated
-rows of one doc_id don't cover each other. Rows without doc_id lose nothing and cover nothing.
+rows of one doc_id don't cover each other. Rows without doc_id lose nothing and cover nothing. docs is read three times and has to give the same batches
+each time, as files do; what comes out of a shuffle is to be written first.
+
+Polynomial hashes only order and find; what is removed rests on compared bytes (2) or on a cryptographic digest of them (1, 3), so that no text made
+to make hashes collide loses a byte.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from .suffixes import Extensions, PrefixHash, sorted_extensions
 LENGTH, K = 100, 20
 W = LENGTH - K + 1
 HOT, LOCAL = 1 << 16, 256
+SALTS = 8
 CHUNK = 1 << 20  # bytes hashed at once
 MEMBERS = 40_000  # occurrences sorted at once, about
-_SIDE = 0xC2B2AE3D27D4EB4F  # base of the surroundings' hash
 
 
 def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -46,6 +50,12 @@ def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
     return x
 
 
+def digests(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit BLAKE2b digest of each part data[at : end]."""
+    whole = data.tobytes()
+    return np.frombuffer(b"".join([hashlib.blake2b(whole[i:j], digest_size=8).digest() for i, j in zip(at.tolist(), end.tolist())]), "<u8").copy()
+
+
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place in it, hash of the K bytes, hash of the surroundings) of all anchors of texts data[at[k] : at[k + 1]]."""
     out, size, lengths = [], len(data), np.diff(at)
@@ -65,7 +75,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         ok = (place >= low) & (place < low + CHUNK) & (place + K <= at[doc + 1]) & (lengths[doc] >= LENGTH)
         a, place, doc = a[ok], place[ok], doc[ok]
         left, right = np.maximum(place - (W - 1), at[doc]), np.minimum(place + LENGTH, at[doc + 1])
-        side = PrefixHash(own, _SIDE)(left - first, right - left)
+        side = digests(own, left - first, right - first)
         side = mix(side + (place - left).astype(np.uint64) * np.uint64(1_000_003) + (right - left).astype(np.uint64))
         out.append((doc, place - at[doc], h[a], side))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -136,8 +146,7 @@ def _strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not starts or not len(s := np.unique(np.concatenate(starts))):
                 continue
             low, high = int(s[0]), int(s[-1]) + LENGTH
-            size = np.full(len(s), LENGTH)
-            out.append((mix(PrefixHash(text[low:high])(s - low, size)), mix(PrefixHash(text[low:high], _SIDE)(s - low, size)), np.full(len(s), doc), s.astype(np.int32)))
+            out.append((mix(PrefixHash(text[low:high])(s - low, np.full(len(s), LENGTH))), digests(text[low:high], s - low, s - low + LENGTH), np.full(len(s), doc), s.astype(np.int32)))
         if out:
             a, c, d, s = (np.concatenate(x) for x in zip(*out))
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s)], ["h1", "h2", "doc", "start"])
@@ -261,8 +270,13 @@ def covered(docs: DataFrame) -> DataFrame:
     if not (rows.where("hot").isEmpty() and local.where("not repeat").isEmpty()):
         strings = staged(texts.where(F.exists("wanted", lambda w: w["hot"])).mapInArrow(_strings, "h1 long, h2 long, doc long, start int"))
         least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "least")
-        late = strings.join(least, ["h1", "h2"]).where((F.col("doc") != F.col("least.doc")) | (F.col("start") != F.col("least.start")))
-        parts = parts.unionByName(late.select("doc", "start", (F.col("start") + LENGTH).alias("end")))
+        # one string may stand at any share of the places, so they meet its first in SALTS parts
+        least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        salted = strings.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)).cast("int"))
+        late = salted.join(least, ["h1", "h2", "salt"]).where((F.col("doc") != F.col("least.doc")) | (F.col("start") != F.col("least.start")))
+        # starts within LENGTH of each other cover all between them
+        runs = late.groupBy("doc", F.floor(F.col("start") / LENGTH).alias("run")).agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("end"))
+        parts = parts.unionByName(runs.select("doc", "start", "end"))
     return parts.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
 
 
