@@ -4,7 +4,7 @@ toxicity: documents scored as toxic go. near_duplicates: of each group of near c
 links) the least doc_id stays. decontamination: documents that the benchmark contaminates go. personal_data: entities are replaced
 by surrogates, and n_chars follows. packing: the documents' tokens are packed into sequences of 4096.
 
-All stages but the last return the columns of documents. Null and empty texts pass every filter.
+All stages but the last return the columns of documents as they were, whatever further ones are named. Null and empty texts pass every filter.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, ngram_join, packing, pii, toxicity
-from rasterloom.llm.common import read, staged
+from rasterloom.llm.common import apart, read, staged
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, machine).where("predicted = 0").select(*docs.columns)
+    own, back = apart(docs, "text")
+    return back(toxicity.scored(own, machine).where("predicted = 0"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +33,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replaced(docs)
+    own, back = apart(docs, "text", "n_chars")
+    out = pii.replaced(own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
