@@ -71,6 +71,13 @@ class Cache(dict):
         return value
 
 
+def pieces_of(name: str) -> Callable[[str], list[str] | None]:
+    """The pre-tokens of a text for a tokenizer, or None where the library has to see the whole text."""
+    pattern, lower = PATTERNS[name]
+    cut = re.compile(pattern).findall
+    return lambda text: None if UNSURE.search(text) else cut(text.lower() if lower else text)
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes; count(text) as a number. known: pre-token -> count, may be empty."""
 
