@@ -75,15 +75,15 @@ def _letter(c: Column, n: Column) -> Column:
     return reduce(lambda out, r: F.when(code.between(r[0], r[1]), of(r[2], r[3])).otherwise(out), ranges, of(97, 26))
 
 
-def _redrawn(value: Column, seed: Column, keep: Column, hexadecimal: Column) -> Column:
-    """value with letters and digits drawn anew from place keep + 1 on."""
+def _redrawn(value: Column, seed: Column, keep: Column, until: Column, hexadecimal: Column) -> Column:
+    """value with letters and digits drawn anew from place keep + 1 to place until."""
     chars = F.split(value, "")
 
     def one(c: Column, i: Column) -> Column:
         n = _draw(seed, i + 1)
         digit = (n % 10).cast("string")
         letter = F.when(hexadecimal, F.when(c == F.lower(c), F.substring(F.lit("abcdef"), n % 6 + 1, F.lit(1))).otherwise(F.substring(F.lit("ABCDEF"), n % 6 + 1, F.lit(1)))).otherwise(_letter(c, n))
-        return F.when(i < keep, c).when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+        return F.when((i < keep) | (i >= until), c).when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
 
@@ -139,7 +139,7 @@ def _surname(value: Column, seed: Column, attempt: Column) -> Column:
             n = [_draw(seed, F.lit(at + i)) for i in range(1, 5)]
             return F.concat(_pick(first, n[0]), F.lower(_pick(first, n[1])), F.when(attempt < 3, F.lit("")).otherwise(F.lower(_pick(first, n[2]))), _pick(SURNAME[script], n[3]))
 
-        return F.when(value.contains("-"), F.concat(one(0), F.lit("-"), one(4))).otherwise(one(0))
+        return F.concat(one(0), F.when(value.contains("-"), F.concat(F.lit("-"), one(4))).otherwise(""))
 
     return _script(value, of)
 
@@ -165,27 +165,25 @@ def parts_of(value: Column, kind: Column) -> Column:
     )
 
 
-def candidate(norm: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The attempt-th surrogate of a part: a function of key, kind, attempt and part alone, in the part's form."""
-    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm)
-    typed = F.when(kind == "secret", F.length(F.regexp_extract(norm, rf"^{PREFIX}(?:(?:live|test|proj)[\-_])?", 0))).otherwise(0)
-    plain = _redrawn(norm, seed, typed, (kind == "secret") & (typed == 0))
-    plain = F.when(norm.startswith("AKIA"), F.translate(plain, "0189", "2345")).otherwise(plain)  # such keys are base 32
-    ending = F.regexp_extract(norm, r"\.\p{L}{2,}$", 0)
-    email = F.concat(_redrawn(F.substring(norm, F.lit(1), F.length(norm) - F.length(ending)), seed, F.lit(0), F.lit(False)), ending)
-    phone = _redrawn(norm, seed, F.length(F.regexp_extract(norm, r"^\+[0-9]* ", 0)), F.lit(False))
-    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (_draw(seed, i + 1) % 223 + 1).cast("string")), ".")
-    body = _redrawn(norm, seed, F.lit(0), F.lit(False))
+def with_candidates(rows: DataFrame, key: str) -> DataFrame:
+    """rows (kind, norm, attempt) with surrogate: a function of key, kind, attempt and part alone, in the part's form.
+
+    Step by step in columns of their own, so that the letters are drawn by one expression for all kinds.
+    """
+    norm, kind, body = F.col("norm"), F.col("kind"), F.col("body")
+    typed = F.when(kind == "secret", F.length(F.regexp_extract(norm, rf"^{PREFIX}(?:(?:live|test|proj)[\-_])?", 0))).when(kind == "phone", F.length(F.regexp_extract(norm, r"^\+[0-9]* ", 0))).when(kind == "iban", 2).otherwise(0)
+    ending = F.when(kind == "email", F.length(F.regexp_extract(norm, r"\.\p{L}{2,}$", 0))).otherwise(0)
+    rows = rows.withColumn("seed", F.concat_ws("|", F.lit(key), kind, F.col("attempt").cast("string"), norm)).withColumn("typed", typed)
+    drawn = _redrawn(norm, F.col("seed"), F.col("typed"), F.length(norm) - ending, (kind == "secret") & (F.col("typed") == 0))
+    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (_draw(F.col("seed"), i + 1) % 223 + 1).cast("string")), ".")
+    given = kind.isin("given_f", "given_m")
+    rows = rows.withColumn("body", F.when(kind == "ip", octets).when(given, _given(norm, F.col("seed"), F.col("attempt"), kind == "given_f")).when(kind == "surname", _surname(norm, F.col("seed"), F.col("attempt"))).otherwise(drawn))
     front = F.substring(body, F.lit(1), F.length(body) - 1)
     card = F.when(_luhn(norm, 1) % 10 == 0, F.concat(front, ((10 - _luhn(front, 0) % 10) % 10).cast("string"))).otherwise(body)
-    drawn = _redrawn(norm, seed, F.lit(2), F.lit(False))
-    checked = lambda check: F.concat(F.substring(drawn, 1, 2), check, F.substring(drawn, F.lit(5), F.length(drawn)))
-    iban = F.when(_remainder(norm) == 1, checked(F.lpad((98 - _remainder(checked(F.lit("00")))).cast("string"), 2, "0"))).otherwise(drawn)
-    return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "given_f", _given(norm, seed, attempt, F.lit(True))).when(kind == "given_m", _given(norm, seed, attempt, F.lit(False)))
-        .when(kind == "surname", _surname(norm, seed, attempt)).otherwise(plain)
-    )
+    checked = lambda check: F.concat(F.substring(body, 1, 2), check, F.substring(body, F.lit(5), F.length(body)))
+    iban = F.when(_remainder(norm) == 1, checked(F.lpad((98 - _remainder(checked(F.lit("00")))).cast("string"), 2, "0"))).otherwise(body)
+    key_ = F.when(norm.startswith("AKIA"), F.translate(body, "0189", "2345")).otherwise(body)  # such keys are base 32
+    return rows.withColumn("surrogate", F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", key_).otherwise(body)).drop("seed", "typed", "body")
 
 
 def rendered(value: Column, kind: Column, drawn: Column) -> Column:
@@ -219,7 +217,7 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     left, done, at = parts, None, 0
     while True:
         drawn = left.repartition(wide, "norm").select("kind", "norm", F.explode(F.array(*[F.lit(at + i) for i in range(TRIES)])).alias("attempt"))
-        drawn = drawn.withColumn("surrogate", candidate(F.col("norm"), F.col("kind"), key, F.col("attempt")))
+        drawn = with_candidates(drawn, key)
         free = drawn.join(parts.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
