@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 #: Rows and bytes that one Arrow batch may hold, so that very long texts don't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,7 +80,22 @@ def texts(column: pa.Array) -> list[str]:
 
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)
+    """The batches that have rows. A worker is used for many tasks; before and after each it gives back what it no longer needs."""
+    trim()
+    try:
+        for b in rows:
+            if b.num_rows:
+                yield b
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Returns free memory of this process, Arrow's and the allocator's, to the system where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def release(spark: SparkSession) -> None:

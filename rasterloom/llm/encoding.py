@@ -33,7 +33,8 @@ BYTE_BPE = rf" ?[{_L}]+| ?[{_N}]+|{_SHORT}| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 WORD_BPE = rf"[{_L}]+|[{_N}]|{_SHORT}|[^\s{_L}{_N}]+"
 PATTERNS = {"byte_bpe_50k.json": (BYTE_BPE, False), "word_bpe_49k.json": (WORD_BPE, True)}
 
-CACHE = 700_000  # pre-tokens that a worker keeps beside those it was given; then it starts anew
+CACHE = 150_000  # pre-tokens that a worker keeps beside those it was given; then it starts anew
+LONG = 256  # characters of a pre-token beyond which it is not kept, so that CACHE bounds bytes as well
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,10 +65,12 @@ class Cache(dict):
         self.known, self.make = known, make
 
     def __missing__(self, word: str) -> object:
-        if len(self) > CACHE + len(self.known):
-            self.clear()
-            self.update(self.known)
-        self[word] = value = self.make(word)
+        value = self.make(word)
+        if len(word) <= LONG:
+            if len(self) > CACHE + len(self.known):
+                self.clear()
+                self.update(self.known)
+            self[word] = value
         return value
 
 
@@ -126,7 +129,11 @@ class Encoder:
             self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
         known = self._chunks
         self._learn([c for c in present if c not in known])
-        return [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
+        out = [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
+        for c in present:
+            if len(c) > LONG:
+                del known[c]
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one call with spaces between; a word's last id, and no other, ends a word."""
@@ -149,6 +156,10 @@ class Encoder:
             known[c] = b"".join([learned[w] if w in learned else known[w] for w in own])
         if len(learned) > CACHE:
             learned.clear()
+        for c, own in mixed.items():
+            if len(c) > LONG:
+                for w in own:
+                    learned.pop(w, None)
 
     def count(self, text: str) -> int:
         words = self.pieces(text)

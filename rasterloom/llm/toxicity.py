@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, staged, texts
+from .common import batches, read, small_batches, staged, texts, trim
 from .encoding import Cache
 
 BITS, RANK = 18, 8
@@ -118,9 +118,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
     """Adagrad on the logistic loss; the same rows in the same order give the same machine."""
     size, n, pos = 1 << BITS, len(rows), max(1, int(labels.sum()))
     neg = max(1, n - pos)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    lab = np.repeat(labels, [len(r) for r in rows]) if n else np.zeros(0)
-    c1, c0 = np.bincount(flat[lab > 0], minlength=size), np.bincount(flat[lab <= 0], minlength=size)
+    c1, c0 = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, labels) if (y > 0) == toxic)]), minlength=size) for toxic in (True, False))
     p, q = (c1 + 0.5) / (pos + 1), (c0 + 0.5) / (neg + 1)
     m = (c1 + c0 + 1) / (pos + neg + 2)
     gain = 2 * (pos * (p * np.log(p / m) + (1 - p).clip(1e-9) * np.log((1 - p).clip(1e-9) / (1 - m))) + neg * (q * np.log(q / m) + (1 - q).clip(1e-9) * np.log((1 - q).clip(1e-9) / (1 - m))))
@@ -183,8 +181,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     past = sums[sums.n.cumsum() > SAMPLE_TERMS]
     if len(past):  # very long texts: fewer rows
         once = once.where(F.struct("turn", "doc_id") < F.struct(F.lit(int(past.turn.iloc[0])), F.lit(int(past.doc_id.iloc[0]))))
-    got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in once.toLocalIterator())
-    return fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got], float))
+    got = once.select("doc_id", "toxic", "terms").toArrow().sort_by("doc_id")  # bounded as said
+    terms_ = [np.frombuffer(t.as_buffer(), np.int32) if t.is_valid else np.zeros(0, np.int32) for chunk in got.column("terms").chunks for t in chunk]
+    machine = fit(terms_, np.array(got.column("toxic").to_pylist(), float))
+    del got, terms_
+    trim()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
