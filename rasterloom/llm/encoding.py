@@ -1,7 +1,7 @@
 """Exact token ids and counts through a cache of pre-tokens in each worker.
 
-A text is cut into pre-tokens by the tokenizer's own published pattern; a pre-token's ids come from the tokenizers library once
-and are kept. That equals encoding the whole text wherever the cut is certain: texts of characters up to U+012F without control
+A text is cut into pre-tokens by the tokenizer's own published pattern; a pre-token's ids come from the library's model and are
+kept. That equals encoding the whole text wherever the cut is certain: texts of characters up to U+012F without control
 characters or the tokenizer's special strings. Every other text is given whole to the library.
 """
 
@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,12 @@ BYTE_BPE = rf" ?[{_L}]+| ?[{_N}]+|{_SHORT}| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 WORD_BPE = rf"[{_L}]+|[{_N}]|{_SHORT}|[^\s{_L}{_N}]+"
 PATTERNS = {"byte_bpe_50k.json": (BYTE_BPE, False), "word_bpe_49k.json": (WORD_BPE, True)}
 
-CACHE = 150_000  # pre-tokens that a worker keeps beside those it was given; then it starts anew
+#: Both vocabularies spell bytes: printable ones as the character of that number, the others as characters from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLING = dict(zip((b for b in range(256) if b not in _PRINTED), range(0x100, 0x200)))
+STOPS = punctuation.replace("'", "")  # after letters these are one pre-token
+
+CACHE = 150_000  # pre-tokens that a cache keeps beside those it was given
 LONG = 256  # characters of a pre-token beyond which it is not kept, so that CACHE bounds bytes as well
 
 
@@ -57,17 +63,25 @@ def unsure_rows(data: np.ndarray, at: np.ndarray) -> set[int]:
     return set((np.searchsorted(at, np.concatenate(bad), side="right") - 1).tolist())
 
 
+def spelled(word: str) -> str:
+    """A pre-token in the characters that the vocabularies have for its bytes."""
+    return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_SPELLING)
+
+
 class Cache(dict):
-    """pre-token -> value; a miss is encoded by the library and kept."""
+    """pre-token -> value; a miss is encoded by the library and kept. What was not met while CACHE / 2 others came is forgotten."""
 
     def __init__(self, known: dict, make: Callable[[str], object]):
         super().__init__(known)
-        self.known, self.make = known, make
+        self.known, self.make, self.before = known, make, {}
 
     def __missing__(self, word: str) -> object:
-        value = self.make(word)
+        value = self.before.pop(word, None)
+        if value is None:
+            value = self.make(word)
         if len(word) <= LONG:
-            if len(self) > CACHE + len(self.known):
+            if len(self) >= CACHE // 2 + len(self.known):
+                self.before = dict(self)
                 self.clear()
                 self.update(self.known)
             self[word] = value
@@ -93,18 +107,20 @@ class Encoder:
         pattern, self.lower = PATTERNS[name]
         self.cut = re.compile(pattern).findall
         self.unsure = UNSURE.search
-        self._chunks: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        if self.lower:
-            words = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.ending = np.zeros(max(words.values()) + 1, bool)
-            self.ending[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self._ids = Cache({}, lambda w: self.whole(w).tobytes())
-        self._counts = Cache(known or {}, lambda w: len(self.whole(w)))
+        self.model = self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self._words = Cache({}, self.word)
+        self._ids = Cache({}, self.chunk) if self.lower else self._words
+        self._counts = Cache(known or {}, lambda w: len(self.model(spelled(w))))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token, which the library's model takes as it is: what normalises and cuts texts is left out, as nothing is left to do."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model(spelled(word))])
+
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where the library has to see the whole text."""
         return None if self.unsure(text) else self.cut(text.lower() if self.lower else text)
@@ -118,48 +134,17 @@ class Encoder:
 
     def ids_all(self, texts: list[str], unsure: set[int] | None = None) -> list[bytes]:
         """The ids of each text. Where white space is dropped, what stands between it is looked up as a whole."""
-        if not self.lower:
-            words = [self.pieces(t) for t in texts]
-            return [self.whole(t).tobytes() if w is None else b"".join(map(self._ids.__getitem__, w)) for t, w in zip(texts, words)]
         if unsure is None:
             unsure = {k for k, t in enumerate(texts) if self.unsure(t)}
-        chunks = [None if k in unsure else t.lower().split() for k, t in enumerate(texts)]
-        present = set().union(*filter(None, chunks))
-        if len(self._chunks) > CACHE:  # what these texts hold stays, so the most frequent do
-            self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
-        known = self._chunks
-        self._learn([c for c in present if c not in known])
-        out = [self.whole(t).tobytes() if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, chunks)]
-        for c in present:
-            if len(c) > LONG:
-                del known[c]
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks, many in one call with spaces between; a word's last id, and no other, ends a word."""
-        single = [c for c in chunks if c.isalpha()]
-        mixed = {c: self.cut(c) for c in chunks if not c.isalpha()}
-        known, learned = self._chunks, self._words
-        new = single + list({w for own in mixed.values() for w in own if w not in learned and w not in known}.difference(single))
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            ids = self.whole(" ".join(part))
-            ends = ((np.flatnonzero(self.ending[ids]) + 1) * 4).tolist()
-            if len(ends) != len(part):
-                learned.update((w, self.whole(w).tobytes()) for w in part)
-                continue
-            data = ids.tobytes()
-            learned.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
-        for c in single:  # a chunk of letters is a word
-            known[c] = learned.pop(c)
-        for c, own in mixed.items():
-            known[c] = b"".join([learned[w] if w in learned else known[w] for w in own])
-        if len(learned) > CACHE:
-            learned.clear()
-        for c, own in mixed.items():
-            if len(c) > LONG:
-                for w in own:
-                    learned.pop(w, None)
+        known = self._ids.__getitem__
+        return [self.whole(t).tobytes() if k in unsure else b"".join(map(known, t.lower().split() if self.lower else self.cut(t))) for k, t in enumerate(texts)]
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of what stands between white space, which may be several pre-tokens."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        w = chunk.rstrip(STOPS)
+        return b"".join(map(self._words.__getitem__, (w, chunk[len(w) :]) if w.isalpha() else self.cut(chunk)))
 
     def count(self, text: str) -> int:
         words = self.pieces(text)

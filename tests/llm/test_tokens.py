@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.llm import packing, token_counts, token_files
+from rasterloom.llm import encoding, packing, token_counts, token_files
 from rasterloom.llm.common import shared_folder, staged
 from rasterloom.llm.encoding import Encoder
 
@@ -47,6 +47,27 @@ def test_any_text(text):
 _ENC: dict = {}
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_sure_texts_need_the_model_alone(name, monkeypatch):
+    """Every character whose cut is certain, in words and between them, without the library's way for whole texts."""
+    e, sure = Encoder(name), [chr(c) for c in range(encoding.LAST + 1) if not encoding.UNSURE.search(chr(c))]
+    texts = [f"{c} a{c}b{c} {c}7.{c},Z" for c in sure] + ["word. word, Word", "a" * 400, "don't!!'ll"]
+    want = [whole(e, t) for t in texts]
+    monkeypatch.setattr(e, "whole", None)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids_all(texts)] == want
+    assert [e.count(t) for t in texts] == [len(x) for x in want]
+
+
+def test_what_comes_again_stays_in_the_cache(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE", 20)
+    made = []
+    cache = encoding.Cache({"known": "KNOWN"}, lambda w: made.append(w) or w.upper())
+    for k in range(100):
+        assert [cache[w] for w in ("hot", f"w{k}", "known", "x" * 300)] == ["HOT", f"W{k}", "KNOWN", "X" * 300]
+        assert len(cache) + len(cache.before) <= 23
+    assert made.count("hot") == 1 and "known" not in made
+
+
 def test_token_counts(docs, corpus, no_docs):
     e = Encoder(NAMES[0])
     rows = token_counts.token_counts(docs, NAMES[0]).collect()
