@@ -1,62 +1,70 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table (one blob of pre-tokens, one byte for each length) of the most frequent pre-tokens of a bounded sample of
-the texts (DOCS whole texts of some tasks, which read no further), broadcast; tier two is each worker's cache, filled by the tokenizers library on a miss. No pre-token is ever shuffled. The
-table decides only how often a worker has to encode, never a count. Null counts as empty: 0 bytes, 0 tokens.
+Tier one is a compact table (one blob of pre-tokens, one byte for each length) of the pre-tokens that are most frequent in all texts, broadcast;
+tier two is each worker's cache, filled by the tokenizers library on a miss. What is shuffled are counts of pre-tokens, for the table; no text is.
+The table decides only how often a worker has to encode, never a count. Null counts as empty: 0 bytes, 0 tokens.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, read, small_batches, texts
+from .common import batches, read, small_batches, staged, texts
 from .encoding import Encoder, pieces_of, tokenizer_path
 
-TASKS, DOCS, OWN = 32, 64, 1 << 13  # tier one is fitted on the first DOCS texts of TASKS tasks and some more, see takes_part(); each gives OWN pre-tokens at most
+HELD = 1 << 17  # pre-tokens that a task counts before it hands on what it has; they are added up after
 TABLE = 1 << 15  # pre-tokens in tier one; a few hundred KB
 LONGEST = 64  # characters of a pre-token in tier one
 LIMIT = 1024
 
 
-def takes_part(task: int) -> bool:
-    """Whether a task reads for the sample: the first TASKS do, and of later ones fewer and fewer, spread over all of them, so that their number
-    grows with the logarithm of the input."""
-    return task < TASKS or zlib.crc32(str(task).encode()) * task < TASKS << 32
+def word_counts(docs: DataFrame, name: str) -> DataFrame:
+    """word, n of all pre-tokens of all texts that the cut is certain for (the others are never looked up), but for those longer than LONGEST and those that occur once."""
 
-
-def frequent(docs: DataFrame, name: str) -> tuple[bytes, bytes]:
-    """Tier one: (the pre-tokens joined by NUL, their lengths in tokens as bytes), most frequent first."""
+    def rows(seen: Counter) -> pa.RecordBatch:
+        some = [(w, n) for w, n in seen.items() if len(w) <= LONGEST and "\0" not in w]
+        return pa.record_batch([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
 
     def counted(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = pieces_of(name), Counter()
-        if takes_part(TaskContext.get().partitionId()):
-            for b in batches(batches_):
-                for text in texts(b.column(0).slice(0, DOCS)):
-                    seen.update(cut(text) or [])
-                break  # the task reads no further
-        top = [(w, n) for w, n in seen.most_common(OWN) if len(w) <= LONGEST and "\0" not in w]
-        yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    total: Counter = Counter()
-    found = docs.select("text").mapInArrow(counted, "word string, n long").toArrow()  # OWN rows of each task that takes part at most
-    for word, n in zip(found.column("word").to_pylist(), found.column("n").to_pylist()):
-        total[word] += n
+        for b in batches(batches_):
+            for text in texts(b.column(0)):
+                seen.update(cut(text) or [])
+                if len(seen) > HELD:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
+
+    return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def frequent(docs: DataFrame, name: str) -> tuple[bytes, bytes]:
+    """Tier one: (the pre-tokens joined by NUL, their lengths in tokens as bytes), most frequent first. It has all that occur at least so often, for
+    the lowest such bound that leaves TABLE at most; the bounds tried are 64 to each doubling, so the driver gathers their sizes and then TABLE rows at most."""
+    counts = staged(word_counts(docs, name))
+    least, size = None, 0
+    for step in sorted(counts.groupBy(F.floor(F.log2("n") * 64)).agg(F.min("n").alias("least"), F.count("*").alias("size")).collect(), key=lambda r: -r.least):
+        size += step["size"]
+        if size > TABLE:
+            break
+        least = step["least"]
+    if least is None:
+        return b"", b""
+    found = counts.where(F.col("n") >= least).toArrow()
+    total = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist()))
     enc = Encoder(name)
-    top = sorted(total, key=lambda w: (-total[w], w))[:TABLE]
-    known = [(w, n) for w in top if (n := enc.count(w)) < 256]
+    known = [(w, n) for w in sorted(total, key=lambda w: (-total[w], w)) if (n := enc.count(w)) < 256]
     return "\0".join(w for w, _ in known).encode(), bytes(n for _, n in known)
 
 
 def token_counts(docs: DataFrame, name: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of docs, in one pass without a shuffle."""
+    """doc_id, n_bytes, n_tokens, over_limit for every row of docs, in one pass after that for the table; no text is shuffled."""
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer_path(name)

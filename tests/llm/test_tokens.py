@@ -3,6 +3,7 @@
 import glob
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,26 @@ def test_token_counts(docs, corpus, no_docs):
     assert token_counts.token_counts(no_docs, NAMES[0]).count() == 0
 
 
+def test_table_has_the_most_frequent_of_all_texts(spark, monkeypatch):
+    """Words that only late texts hold, in one partition and beyond any first batch; many partial counts; a table too small for all."""
+    rng = random.Random(5)
+    texts = ["early words only"] * 200 + [" ".join(rng.choices(["late", "rare", *(f"x{k}y" for k in range(200))], [90, 4] + [1] * 200, k=12)) for _ in range(2300)] + [None, "日 late", "z" * 100, "once"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    cut = encoding.pieces_of(NAMES[0])
+    want = Counter(w for t in texts for w in cut(t or "") or [])
+    monkeypatch.setattr(token_counts, "HELD", 20)
+    for size in (1 << 15, 40):
+        monkeypatch.setattr(token_counts, "TABLE", size)
+        words, lengths = token_counts.frequent(rows, NAMES[0])
+        table = words.decode().split("\0")
+        assert " late" in table and len(set(table)) == len(table) == len(lengths) <= size
+        left = [n for w, n in want.items() if w not in table and len(w) <= token_counts.LONGEST]
+        assert min(want[w] for w in table) > max(left)
+        assert size < 100 or max(left) == 1
+    monkeypatch.setattr(token_counts, "TABLE", 0)
+    assert token_counts.frequent(rows, NAMES[0]) == (b"", b"")
+
+
 def test_token_files(spark, docs, corpus, no_docs):
     e, path = Encoder(NAMES[1]), shared_folder(spark)
     rows = {r.doc_id: r for r in token_files.read_tokens(token_files.write_tokens(docs, path)).collect()}
