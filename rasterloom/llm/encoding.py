@@ -15,6 +15,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import utf8
 
@@ -40,7 +41,7 @@ _SPELLING = dict(zip((b for b in range(256) if b not in _PRINTED), range(0x100,
 STOPS = punctuation.replace("'", "")  # after letters these are one pre-token
 
 CACHE = 150_000  # pre-tokens that a cache keeps beside those it was given
-LONG = 256  # characters of a pre-token beyond which it is not kept, so that CACHE bounds bytes as well
+LONG, WIDE = 256, 16  # characters of a pre-token: beyond LONG it is not kept, and each WIDE of them take the place of another, so that CACHE bounds bytes as well
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,23 +69,32 @@ def spelled(word: str) -> str:
     return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_SPELLING)
 
 
+def strings(words: pa.Array) -> list[str]:
+    """words.to_pylist() of strings without spaces, in a fraction of the time where they are no large ones, which Arrow can't join."""
+    if not len(words) or pa.types.is_large_string(words.type):
+        return words.to_pylist()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class Cache(dict):
-    """pre-token -> value; a miss is encoded by the library and kept. What was not met while CACHE / 2 others came is forgotten."""
+    """pre-token -> value; a miss is encoded by the library and kept. What was not met while half as many others as it may hold came is forgotten. Each WIDE characters count as one more, which bounds bytes."""
 
-    def __init__(self, known: dict, make: Callable[[str], object]):
+    def __init__(self, known: dict, make: Callable[[str], object], held: int | None = None):
         super().__init__(known)
-        self.known, self.make, self.before = known, make, {}
+        self.known, self.make, self.before, self.half, self.used = known, make, {}, (held or CACHE) // 2, 0
 
     def __missing__(self, word: str) -> object:
         value = self.before.pop(word, None)
         if value is None:
             value = self.make(word)
         if len(word) <= LONG:
-            if len(self) >= CACHE // 2 + len(self.known):
+            if self.used >= self.half:
                 self.before = dict(self)
                 self.clear()
                 self.update(self.known)
+                self.used = 0
             self[word] = value
+            self.used += 1 + len(word) // WIDE
         return value
 
 
@@ -96,9 +106,9 @@ def pieces_of(name: str) -> Callable[[str], list[str] | None]:
 
 
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit bytes; count(text) as a number. known: pre-token -> count, may be empty."""
+    """ids(text) as little-endian unsigned 32-bit bytes; count(text) as a number. known: pre-token -> count, may be empty. held: what a cache holds, if not CACHE."""
 
-    def __init__(self, name: str, known: dict[str, int] | None = None, path: str | None = None):
+    def __init__(self, name: str, known: dict[str, int] | None = None, path: str | None = None, held: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path(name))
@@ -109,9 +119,8 @@ class Encoder:
         self.unsure = UNSURE.search
         self.model = self.tokenizer.model.tokenize
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self._words = Cache({}, self.word)
-        self._ids = Cache({}, self.chunk) if self.lower else self._words
-        self._counts = Cache(known or {}, lambda w: len(self.model(spelled(w))))
+        self._ids = Cache({}, self.chunk if self.lower else self.word, held)
+        self._counts = Cache(known or {}, lambda w: len(self.model(spelled(w))), held)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -129,8 +138,23 @@ class Encoder:
         return self.ids_all([text])[0]
 
     def column(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text of a string column."""
-        return self.ids_all(["" if t is None else t for t in texts.to_pylist()], unsure_rows(*utf8(texts)))
+        """The ids of each text of a string column. Where white space is dropped, each string between it is looked up once for the column."""
+        unsure, texts = unsure_rows(*utf8(texts)), pc.fill_null(texts, "")
+        if not self.lower:
+            return self.ids_all(texts.to_pylist(), unsure)
+        other = np.zeros(len(texts), bool)
+        other[list(unsure)] = True
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(other), "", texts)))
+        coded = chunks.flatten().dictionary_encode()
+        found, code = list(map(self._ids.__getitem__, strings(coded.dictionary))), coded.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[code]
+        end = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=end[1:])
+        at = np.repeat((np.cumsum(size) - size)[code] - end[:-1], n)
+        at += np.arange(end[-1])
+        ids, bounds = np.frombuffer(b"".join(found), "<u4")[at], end[chunks.offsets.to_numpy()].tolist()
+        return [self.whole(texts[k].as_py()).tobytes() if k in unsure else ids[i:j].tobytes() for k, (i, j) in enumerate(zip(bounds, bounds[1:]))]
 
     def ids_all(self, texts: list[str], unsure: set[int] | None = None) -> list[bytes]:
         """The ids of each text. Where white space is dropped, what stands between it is looked up as a whole."""
@@ -144,7 +168,8 @@ class Encoder:
         if chunk.isalpha():
             return self.word(chunk)
         w = chunk.rstrip(STOPS)
-        return b"".join(map(self._words.__getitem__, (w, chunk[len(w) :]) if w.isalpha() else self.cut(chunk)))
+        parts = [w, chunk[len(w) :]] if w.isalpha() else self.cut(chunk)
+        return self.word(chunk) if parts == [chunk] else b"".join(map(self._ids.__getitem__, parts))
 
     def count(self, text: str) -> int:
         words = self.pieces(text)
@@ -152,9 +177,9 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, held: int | None = None) -> Encoder:
     """One for each worker process."""
-    return Encoder(name)
+    return Encoder(name, held=held)
 
 
 def lists(ids: Iterable[bytes]):

@@ -21,6 +21,7 @@ from .encoding import encoder, lists
 
 NAME, END = "word_bpe_49k.json", 1
 ROW_GROUP, PAGE = 32 << 20, 1 << 16  # bytes
+HELD = 1_000_000  # strings whose ids a worker keeps, long ones counted as several
 LAYOUT = {
     "compression": "snappy", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#place": "false", "parquet.enable.dictionary#n_tokens": "false",
@@ -35,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = NAME, end: int = END) -
     last = np.array([end], "<u4").tobytes()
 
     def encoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, place = encoder(name), TaskContext.get().partitionId(), 0
+        enc, part, place = encoder(name, HELD), TaskContext.get().partitionId(), 0
         for b in batches(rows):
             ids = [x + last for x in enc.column(b.column(1))]
             n = np.array([len(x) // 4 for x in ids], np.int64)

@@ -59,6 +59,51 @@ def test_sure_texts_need_the_model_alone(name, monkeypatch):
     assert [e.count(t) for t in texts] == [len(x) for x in want]
 
 
+def test_long_words_take_more_of_a_cache():
+    cache = encoding.Cache({}, str.upper, 100)
+    for k in range(1000):
+        assert cache[f"{k:0250}"] == f"{k:0250}" and len(cache) + len(cache.before) <= 8
+    assert [cache[f"w{k}"] for k in range(40)] == [f"W{k}" for k in range(40)] and len(cache) >= 40
+
+
+def test_a_column_looks_each_string_up_once():
+    """Copies, marks after words, letters and spaces beyond ASCII, null, odd texts; whole columns, slices, large strings, no rows."""
+    e, looked, made = Encoder(NAMES[1]), [], []
+
+    class Watched(encoding.Cache):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    e._ids = Watched({}, e.chunk)
+    model = e.model
+    e.model = lambda w: made.append(w) or model(w)
+    texts = ["The cat, the CAT.\tthe\r\ncat,"] * 50 + [None, "", " \n", "\xa0ÀÉ\xa0 É, ×ß", "don't don't, ''s 12.5% (x)", "x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.column(pa.array(texts))] == [whole(e, t) for t in texts]
+    assert looked.count("the") == 1 and looked.count("cat,") == 1 and made.count("cat") == 1 and len(looked) < 50 and len(made) == len(set(made))
+    texts += [*ODD, None, *ODD]
+    want = [whole(e, t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.column(column)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.column(column.slice(40, 30))] == want[40:70]
+        assert e.column(column.slice(0, 0)) == [] and e.column(pa.array([None, " "], kind)) == [b"", b""]
+
+
+def test_file_workers_keep_the_words_of_many_batches():
+    e = encoding.encoder(NAMES[1], token_files.HELD)
+    texts = pa.array([" ".join(f"q{chr(97 + k % 26)}{'abcdefghij'[k // 26 % 10]}{'klmnopqrst'[k // 260 % 10]}{'uvwxyzabcd'[k // 2600 % 10]}{'efghijklmn'[k // 26000]}" for k in range(lo, lo + 10_000)) for lo in range(0, 120_000, 10_000)])
+    made, model = [], e.model
+    e.model = lambda w: made.append(w) or model(w)
+    try:
+        for _ in range(2):
+            for k in range(len(texts)):
+                e.column(texts.slice(k, 1))
+    finally:
+        e.model = model
+    assert len(made) == len(set(made)) == 120_000
+
+
 def test_what_comes_again_stays_in_the_cache(monkeypatch):
     monkeypatch.setattr(encoding, "CACHE", 20)
     made = []
